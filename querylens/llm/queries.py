@@ -6,22 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylens.llm import pivots, simhash
+from querylens.llm import langid, packing, pii, pivots, simhash
 from querylens.llm.common import table
 
+#: The tokenizer file of the packing query, among the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """The place of a public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_pivot_near_dedup, op8_golay_simhash)}
+    return {f.__name__: f for f in (op2_compression_langid, op3_pivot_near_dedup, op7_best_fit_packing, op8_golay_simhash, op9_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
