@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylens.llm import langid, merkle, packing, pii, pivots, simhash, urlfilter, warc
+from querylens.llm import langid, lm, merkle, mixing, packing, pii, pivots, simhash, urlfilter, warc
 from querylens.llm.common import table
 
 #: The tokenizer file of the packing query, among the public tokenizers.
@@ -35,6 +35,10 @@ def op3_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_masked_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @lru_cache(maxsize=1)
 def url_model() -> urlfilter.Model:
     return urlfilter.fit(urlfilter.labelled_urls())
@@ -44,6 +48,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), url_model())
 
 
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -65,7 +73,9 @@ def queries() -> dict[str, Query]:
         op1_warc_archives,
         op2_compression_langid,
         op3_pivot_near_dedup,
+        op4_masked_lm_scores,
         op5_url_filter,
+        op6_poisson_mixing,
         op7_best_fit_packing,
         op8_golay_simhash,
         op9_personal_data,
@@ -78,5 +88,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_archives": warc.oracle(),
         "op5_url_filter": urlfilter.oracle(url_model()),
+        "op6_poisson_mixing": mixing.oracle(),
         "op10_merkle_fingerprints": merkle.oracle(),
     }
