@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages on ``documents``, each written and read again."""
+"""The corpus pipeline: raw documents to packed training sequences.
+
+Each stage takes all that the one before it kept, and what it decides takes
+effect; the result of each is written as Parquet and read again as the next
+one's documents.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from querylens.llm import langid, mixing, packing, pii, simhash
+from querylens.llm.common import stored
+from querylens.llm.queries import vocabulary_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is unknown or too close to call go."""
+    return langid.drop_unidentified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind; all documents stay."""
+    return pii.mask_personal_data(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents occur as often as their source's weight asks for, shuffled."""
+    return mixing.replicate(docs, copy=None)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document and its place in a sequence."""
+    return packing.pack_documents(docs, vocabulary_path())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Compression, fingerprints and tokens are beyond SQL; tests/llm hold the
+#: pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage, from ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
