@@ -25,8 +25,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Runs of ASCII and Latin-1 letters: nothing in them composes, has a special
 #: lower case or depends on a Unicode version.  None can hold a special token.
 SIMPLE = re.compile("[\x00-;=-~À-ÖØ-öø-ÿ]*")
-#: The same pattern on such runs, in lower case (they hold no white space).
-SIMPLE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: The same pattern on such runs, in lower case (they hold no white space), and
+#: the line's end that is put between them.
+SIMPLE_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\na-z0-9ß-öø-ÿ]+")
 
 
 def _byte_characters() -> dict[int, int]:
@@ -37,6 +38,12 @@ def _byte_characters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(rest)}
 
 
+def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` at some starts, one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class RaggedTokenizer:
     """Encodes Arrow batches of texts to one flat id array and row lengths."""
 
@@ -72,32 +79,40 @@ class RaggedTokenizer:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
-
-    def _word(self, word: str) -> list[int]:
-        found = self.words.get(word)
-        if found is None:
-            letters = word.encode().decode("latin-1").translate(self.alphabet)
-            found = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(letters)]
-        return found
-
-    def _encode(self, runs: list[str]) -> list:
-        """The ids of each run: those the library would give, by its model for
-        simple runs and by the whole of it for others."""
-        out: list = [None] * len(runs)
-        hard = []
-        for i, run in enumerate(runs):
-            if SIMPLE.fullmatch(run):
-                words = SIMPLE_WORDS.findall(run.lower())
-                out[i] = self._word(words[0]) if len(words) == 1 else [t for w in words for t in self._word(w)]
-            else:
-                hard.append(i)
-        for i, ids in zip(hard, self._encode_hard([runs[i] for i in hard])):
-            out[i] = ids
-        return out
+        # words of simple runs: number 0 is the line's end between runs
+        self.words: dict[str, int] = {"\n": 0}
+        self.word_starts = np.zeros(1, dtype=np.int64)
+        self.word_sizes = np.zeros(1, dtype=np.int64)
+        self.word_ids = np.zeros(0, dtype=np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Number words that are new, with their ids by the model."""
+        tokenize, alphabet, found, sizes = self.tokenizer.model.tokenize, self.alphabet, [], []
+        for word in words:
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(alphabet)
+            own = [t.id for t in tokenize(letters)]
+            found += own
+            sizes.append(len(own))
+        first = len(self.word_starts)
+        self.words.update(zip(words, range(first, first + len(words))))
+        sizes = np.array(sizes, dtype=np.int64)
+        self.word_starts = np.concatenate([self.word_starts, len(self.word_ids) + np.cumsum(sizes) - sizes])
+        self.word_sizes = np.concatenate([self.word_sizes, sizes])
+        self.word_ids = np.concatenate([self.word_ids, np.array(found, dtype=np.uint32)])
+
+    def _encode_simple(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all runs, ids of each run) of simple runs, the ids that the
+        library would give: all runs are cut into words at once."""
+        words = SIMPLE_WORDS.findall("\n".join(runs).lower())
+        new = [w for w in dict.fromkeys(words) if w not in self.words]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))
+        sizes = self.word_sizes[number]
+        return gathered(self.word_ids, self.word_starts[number], sizes), np.bincount(np.cumsum(number == 0), weights=sizes, minlength=len(runs)).astype(np.int64)
 
     def _encode_hard(self, runs: list[str]) -> list:
         plain = self.tokenizer.encode
@@ -125,14 +140,16 @@ class RaggedTokenizer:
         known = self.known
         new = [r for r in runs if r not in known]
         if new:
-            encoded = self._encode(new)
-            sizes = np.array([len(x) for x in encoded], dtype=np.int64)
-            first = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            known.update(zip(new, range(len(self.starts), len(self.starts) + len(new))))
-            self.starts = np.concatenate([self.starts, first])
+            simple = [r for r in new if ("<" not in r if r.isascii() else SIMPLE.fullmatch(r))]
+            easy, sizes = self._encode_simple(simple) if simple else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+            rest = new if not simple else list(set(new).difference(simple)) if len(simple) < len(new) else []
+            hard = self._encode_hard(rest) if rest else []
+            sizes = np.concatenate([sizes, np.array([len(x) for x in hard], dtype=np.int64)])
+            known.update(zip(chain(simple, rest), range(len(self.starts), len(self.starts) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(encoded), dtype=np.uint32, count=int(sizes.sum()))])
-        return np.fromiter((known[r] for r in runs), dtype=np.int64, count=len(runs))
+            self.ids = np.concatenate([self.ids, easy, *hard])
+        return np.fromiter(map(known.__getitem__, runs), dtype=np.int64, count=len(runs))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text); a null text has none."""
@@ -147,11 +164,8 @@ class RaggedTokenizer:
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         number = self._numbers(runs.dictionary.to_pylist())[runs.indices.to_numpy(zero_copy_only=False)]
         sizes = self.sizes[number]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1])
-        where = np.repeat(self.starts[number] - (ends - sizes), sizes) + np.arange(total)
-        edges = np.concatenate([[0], ends])[bounds - bounds[0]]
-        return self.ids[where], np.diff(edges)
+        edges = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
+        return gathered(self.ids, self.starts[number], sizes), np.diff(edges)
 
 
 @lru_cache(maxsize=1)
