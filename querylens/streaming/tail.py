@@ -34,27 +34,28 @@ def _identities(paths):
     return pa.array([identity(p.as_py(), 1) for p in paths], pa.string())
 
 
-def without_replays(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """One entry per file and offset, remembered for as long as one may be late."""
-    return stream.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["file_hash", "event_offset"])
+def with_event_time(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """The watermark that what follows goes by.  It needs a time with a zone;
+    entries are UTC."""
+    return stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
 
 
-def with_event_time(stream: DataFrame) -> DataFrame:
-    """Watermarks need a time with a zone; entries are UTC."""
-    return stream.withColumn("event_time", F.col("ts").cast("timestamp"))
+def without_replays(stream: DataFrame) -> DataFrame:
+    """One entry per file and offset, remembered for as long as one may be late."""
+    return stream.dropDuplicatesWithinWatermark(["file_hash", "event_offset"])
 
 
-def windowed_costs(stream: DataFrame, length: str = "1 hour", slide: str | None = None, by: Iterable[str] = ("fingerprint_id",), lateness: str = LATENESS) -> DataFrame:
+def windowed_costs(stream: DataFrame, length: str = "1 hour", slide: str | None = None, by: Iterable[str] = ("fingerprint_id",)) -> DataFrame:
     """Calls and time per window (tumbling, or sliding by ``slide``) and group."""
     when = F.window("event_time", length, slide) if slide else F.window("event_time", length)
-    grouped = stream.withWatermark("event_time", lateness).groupBy(when.alias("w"), *by)
+    grouped = stream.groupBy(when.alias("w"), *by)
     found = grouped.agg(F.count("*").alias("calls"), F.sum("query_time_sec").alias("total_time"), F.max("query_time_sec").alias("max_time"))
     return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "calls", "total_time", "max_time")
 
 
-def sessions(stream: DataFrame, gap: str = "5 minutes", by: str = "user", lateness: str = LATENESS) -> DataFrame:
+def sessions(stream: DataFrame, gap: str = "5 minutes", by: str = "user") -> DataFrame:
     """Bursts of entries of a user (or another column) without a longer gap."""
-    grouped = stream.withWatermark("event_time", lateness).groupBy(F.session_window("event_time", gap).alias("w"), by)
+    grouped = stream.groupBy(F.session_window("event_time", gap).alias("w"), by)
     return grouped.agg(F.count("*").alias("calls"), F.sum("query_time_sec").alias("total_time")).select(by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "calls", "total_time")
 
 

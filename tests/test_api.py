@@ -1,0 +1,224 @@
+"""The service from logs to JSON, and the command line."""
+
+import datetime as dt
+import gzip
+import hashlib
+import json
+import threading
+import urllib.error
+import urllib.request
+
+import pytest
+from logfixtures import minimal, write_contract
+
+from querylens import cli
+from querylens.api import Service, serve
+from querylens.ingest import Ingester
+from querylens.jobs import Jobs
+from querylens.sources.store import Store
+
+NOW = dt.datetime(2024, 6, 1, 8, 0, 0, 250000)
+IDS = ["13980AA1698C3634", "945052ADCBFE6486", "77D5CE87BDEB0083"]
+
+
+@pytest.fixture(scope="module")
+def service(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("api")
+    (folder / "logs").mkdir()
+    write_contract(folder / "logs", NOW)
+    store = Store(spark, str(folder / "store"))
+    Ingester(spark, store).parse_directory(str(folder / "logs"))
+    return Service(store, "secret", clock=lambda: NOW)
+
+
+@pytest.fixture(scope="module")
+def call(service):
+    server = serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def run(path, body=None, token="secret", headers=(), method=None):
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", method=method)
+        if token:
+            request.add_header("Authorization", f"Bearer {token}")
+        for name, value in headers:
+            request.add_header(name, value)
+        if body is not None:
+            request.data = body if isinstance(body, bytes) else json.dumps(body).encode()
+        try:
+            answer = urllib.request.urlopen(request)
+        except urllib.error.HTTPError as error:
+            answer = error
+        data = answer.read()
+        if answer.headers.get("Content-Encoding") == "gzip":
+            data = gzip.decompress(data)
+        return answer.status, json.loads(data) if data else None, answer.headers
+
+    yield run
+    server.shutdown()
+
+
+def queries(call, **given):
+    from urllib.parse import urlencode
+
+    return call(f"/api/v1/sql/queries?{urlencode(given)}")
+
+
+def test_default_page(call):
+    status, body, headers = queries(call)
+    assert status == 200 and headers["X-Request-Id"]
+    assert (body["total_count"], body["has_more"], body["next_cursor"]) == (3, False, None)
+    assert [r["id"] for r in body["data"]] == IDS
+    assert body["data"][0] == {
+        "id": "13980AA1698C3634", "text": "select * from orders where customer_id = ? and status = ?", "raw_query": "SELECT * FROM orders WHERE customer_id = 7 AND status = 'paid'",
+        "source": "shop", "execution_time_ms": 5600.0, "calls": 2, "tables": ["shop.orders"], "latest_ts": "2024-05-29T08:00:00Z", "user": "app", "host": "web1",
+        "rows_sent": 1, "rows_examined": 100000, "lock_time_sec": 0.0001, "source_hosts": ["shop-slow"],
+    }
+    assert [(r["execution_time_ms"], r["calls"], r["source"], r["source_hosts"]) for r in body["data"][1:]] == [(5000.0, 1, "analytics", ["analytics-slow"]), (900.0, 1, "shop", ["shop-slow"])]
+
+
+def test_narrowed_pages(call):
+    assert [r["id"] for r in queries(call, database="shop")[1]["data"]] == [IDS[0], IDS[2]]
+    body = queries(call, min_execution_ms=1000)[1]
+    assert [r["id"] for r in body["data"]] == IDS[:2] and body["total_count"] == 2
+    known = hashlib.sha256(b"select * from orders where customer_id = ? and status = ?").hexdigest()[:16]
+    assert queries(call, known_hashes=known)[1]["total_count"] == 2
+    assert queries(call, since="2024-05-28T00:00:00Z")[1]["total_count"] == 2
+    assert queries(call, until="2024-05-01T00:00:00Z", since="2024-04-01T00:00:00+02:00")[1]["data"] == []
+    assert queries(call, limit=" ")[1]["total_count"] == 3
+
+
+def test_pages_by_cursor(call):
+    first = queries(call, limit=1)[1]
+    second = queries(call, limit=1, cursor=first["next_cursor"])[1]
+    assert [first["data"][0]["id"], second["data"][0]["id"]] == IDS[:2]
+    assert first["has_more"] and second["has_more"] and second["total_count"] == 3
+    last = queries(call, limit=1, cursor=second["next_cursor"])[1]
+    assert last["data"][0]["id"] == IDS[2] and not last["has_more"]
+
+
+@pytest.mark.parametrize(
+    "given",
+    [{"limit": 0}, {"limit": 1001}, {"limit": "x"}, {"since": "yesterday"}, {"until": "2024-01-01"}, {"since": "2030-01-01T00:00:00Z"}, {"min_execution_ms": -1}, {"min_execution_ms": "nan"}, {"database": "a b"}, {"known_hashes": "zz"}, {"cursor": "%%"}],
+)
+def test_bad_parameters(call, given):
+    status, body, _ = queries(call, **given)
+    assert status == 400 and body["error"] == "invalid_param" and set(body) == {"error", "message", "request_id"}
+
+
+def test_open_routes_and_bearer(call, service, monkeypatch):
+    assert call("/health", token="")[1] == {"status": "ok", "version": "1.0.0", "databases": ["analytics", "shop"]}
+    assert call("/api/v1/openapi.json", token="")[1]["openapi"] == "3.0.3"
+    for token in ("", "wrong"):
+        assert call("/api/v1/sql/databases", token=token)[0] == 401
+    assert call("/api/v1/sql/databases")[1] == {"databases": ["analytics", "shop"]}
+    assert call("/nowhere")[0] == 404 and call("/api/v1/sql/queries", method="DELETE")[0] == 404
+    monkeypatch.setattr(service, "token", "")
+    assert call("/api/v1/sql/databases", token="secret")[0] == 401
+
+
+def test_execute(call, service, monkeypatch):
+    run = lambda q, **k: call("/api/v1/sql/execute", {"query": q, **k})
+    status, body, _ = run("select 1 as id", database="shop")
+    assert status == 200 and {**body, "execution_time_ms": 0} == {"columns": ["id"], "rows": [[1]], "row_count": 1, "truncated": False, "execution_time_ms": 0}
+    assert run("select ts, tables from slow_logs order by id limit 1")[1]["rows"][0][1] in (["analytics.events"], ["shop.orders"], ["shop.invoices"])
+    assert run(" ")[0] == 400 and run("select 1", timeout_ms=0)[0] == 400 and run("select 1", database="a b")[0] == 400
+    assert call("/api/v1/sql/execute", b"not json")[0] == 400 and call("/api/v1/sql/execute", [1])[0] == 400
+    for unsafe in ("delete from slow_logs", "select 1; select 2", "select * from csv.`/etc/hostname`"):
+        assert run(unsafe)[0] == 422
+    assert run("select no_such_column from slow_logs")[0] == 500
+    assert run("select count(*) from (select explode(sequence(1, 100000)) a) x join (select explode(sequence(1, 100000)) b) y on a + b < -1 or a * b < -5", timeout_ms=200)[0] == 408
+    monkeypatch.setattr(service, "may_execute", False)
+    assert run("select 1")[0] == 404
+
+
+def test_reports_and_records(call):
+    assert call("/api/v1/stats")[1]["total_entries"] == 4 and call("/api/v1/stats")[1]["unique_files"] == 2
+    assert call("/api/v1/facets")[1]["tables"] == ["analytics.events", "shop.invoices", "shop.orders"]
+    listed = call("/api/v1/records?user=app&order_by=query_time_sec&order_dir=desc")[1]
+    assert listed["count"] == 2 and listed["rows"][0][listed["columns"].index("query_time_sec")] == 3.1
+    assert call(f"/api/v1/records/{listed['rows'][0][0]}")[1]["tables"] == ["shop.orders"]
+    assert call("/api/v1/records/999")[0] == 404 and call("/api/v1/records?limit=x")[0] == 400
+    assert call("/api/v1/reports/top-queries?limit=1")[1]["rows"][0][1] == 2
+    assert call("/api/v1/reports/timeline?interval=day")[1]["count"] == 3 and call("/api/v1/reports/timeline?interval=week")[0] == 400
+    for name in ("slowest-queries", "table-usage", "full-scans", "users"):
+        assert call(f"/api/v1/reports/{name}")[0] == 200
+    assert call("/api/v1/search/fingerprint?q=ORDERS")[1]["count"] == 1 and call("/api/v1/search/table?q=shop.orders")[1]["count"] == 2
+    assert call("/api/v1/search/table")[0] == 400
+
+
+def test_gzip_and_cors(call):
+    status, body, headers = call("/health", headers=[("Accept-Encoding", "gzip"), ("Origin", "http://localhost:3000")])
+    assert headers["Content-Encoding"] == "gzip" and headers["Access-Control-Allow-Origin"] == "http://localhost:3000"
+    assert call("/health", method="OPTIONS", headers=[("Origin", "http://localhost:5173")])[0] == 204
+    assert "Access-Control-Allow-Origin" not in call("/health", headers=[("Origin", "http://evil.example")])[2]
+
+
+def test_answers_fit_the_description(call):
+    described = call("/api/v1/openapi.json")[1]
+
+    def fits(value, schema):
+        if value is None:
+            return schema.get("nullable", False)
+        kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
+        if "type" in schema and not isinstance(value, kinds[schema["type"]]):
+            return False
+        if isinstance(value, dict):
+            return set(schema.get("required", ())) <= set(value) and all(fits(v, schema.get("properties", {}).get(k, {})) for k, v in value.items())
+        return not isinstance(value, list) or all(fits(v, schema.get("items", {})) for v in value)
+
+    for path in ("/health", "/api/v1/sql/queries", "/api/v1/sql/databases"):
+        schema = described["paths"][path]["get"]["responses"]["200"]["content"]["application/json"]["schema"]
+        assert fits(call(path)[1], schema), path
+
+
+def test_unavailable_store(spark, tmp_path):
+    from querylens.api import Refused
+
+    empty = Service(Store(spark, str(tmp_path / "none")), auth=False)
+    assert empty.health()["databases"] == []
+    with pytest.raises(Refused) as refused:
+        empty.queries({})
+    assert (refused.value.status, refused.value.code) == (503, "db_unavailable")
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text(minimal(NOW))
+    monkeypatch.setenv("QUERYLENS_STORE_PATH", str(tmp_path / "env"))
+    run = lambda *a: cli.main(["--slow-log-dir", str(tmp_path / "logs"), "--store-path", str(tmp_path / "s"), *a], spark)
+    assert run("stats") == 1
+    assert run("parse", "-v") == 0 and "Entries stored:  2" in capsys.readouterr().out
+    assert run("parse", "-f", str(tmp_path / "logs" / "a.log")) == 0 and "Files skipped:   1" in capsys.readouterr().out
+    assert run("stats") == 0 and "total_entries: 2" in capsys.readouterr().out
+    assert run("query", "select db, count(*) as n from slow_logs group by db order by db") == 0 and "['testdb', 1]" in capsys.readouterr().out
+    assert run("serve") == 1 and run("version") == 0
+
+
+def test_settings(tmp_path):
+    from querylens import config
+
+    path = tmp_path / "c.yaml"
+    path.write_text('parser:\n  slow_log_dir: "./from-file"  # here\n  workers: 0\n  file_patterns:\n    - "*a*"\n    - "*b*"\napi:\n  port: 9\n')
+    loaded = config.load(str(path), {"QUERYLENS_PORT": "10", "QUERYLENS_FILE_PATTERNS": "x*, y*"}, {"slow_log_dir": "flag", "port": None})
+    assert (loaded.slow_log_dir, loaded.workers, loaded.port, loaded.file_patterns) == ("flag", 1, 10, ("x*", "y*"))
+    assert config.load(str(path), {}).file_patterns == ("*a*", "*b*")
+    assert config.load(None, {}).file_patterns == config.PATTERNS
+    with pytest.raises(FileNotFoundError):
+        config.load(str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        config.load(None, {"QUERYLENS_FILE_PATTERNS": "[a"})
+
+
+def test_jobs():
+    import time
+
+    from querylens.ingest import ParseResult
+
+    jobs = Jobs()
+    good, bad = jobs.start(lambda: ParseResult(files_processed=1)), jobs.start(lambda: 1 / 0)
+    for _ in range(100):
+        if {good.status, bad.status} <= {"completed", "failed"}:
+            break
+        time.sleep(0.05)
+    assert (good.status, good.result["files_processed"], bad.status) == ("completed", 1, "failed") and jobs.get(bad.id).error
+    assert len(jobs.all()) == 2 and jobs.get("none") is None
