@@ -66,7 +66,7 @@ def likeness(a: str, b: str) -> Column:
 def differing_sections(a: str, b: str) -> Column:
     """The indices of the sections at which two fingerprints part; empty if the
     roots are equal."""
-    cut = lambda f: f"split(substring({f}, 66), '(?<=[)][)])')"
+    cut = lambda f: f"split(substring({f}, 66), '(?<=[)][)])(?=.)')"
     longest = f"greatest(size({cut(a)}), size({cut(b)}))"
     differs = f"i -> not (get({cut(a)}, i) <=> get({cut(b)}, i))"
     return F.expr(f"if(substring({a}, 1, 64) = substring({b}, 1, 64), cast(array() as array<int>), filter(sequence(0, {longest} - 1), {differs}))")

@@ -6,8 +6,9 @@ cells of bounded size; each cell is packed by best-fit decreasing, and
 dual-feasible functions give a lower bound of its bins.  A cell that meets its
 bound is certified and keeps its bins (but for its loosest, which may yet be
 merged with others'); cells with a gap release all bins that aren't full.
-What was released is dealt anew, so that cells exchange documents, and packed
-again, until it fits in one cell or the rounds are over.
+What was released is dealt anew, into cells twice as large, so that cells
+exchange documents, and packed again, until it fits in one cell or the rounds
+are over.
 """
 
 from __future__ import annotations
@@ -25,10 +26,9 @@ from querylens.llm.tokens import tokenizer
 
 #: Tokens of a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a cell on average: what one task holds.
-CELL = 40_000
-#: Rounds of exchange after the first packing.
-ROUNDS = 3
+#: Pieces of a cell on average, to begin with, and rounds of exchange after the
+#: first packing.  A task holds at most ``CELL << ROUNDS`` pieces on average.
+CELL, ROUNDS = 40_000, 3
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -144,7 +144,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, rounds:
     schema = "item long, length long, bin long, offset long, released boolean, gap long"
     rest, n, kept = items.select("item", "length"), items.count(), []
     for turn in range(rounds + 1):
-        cells = max(1, -(-n // cell))
+        cells = max(1, -(-n // (cell << turn)))
         dealt = rest.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(cells)))
         done = stored(dealt.groupBy("cell").applyInArrow(_pack_cell(capacity), schema), "packed")
         if cells == 1 or turn == rounds:
