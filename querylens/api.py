@@ -27,7 +27,13 @@ from querylens.sources.store import Store, StoreUnavailable
 CONTRACT = "1.0.0"
 DATABASE = re.compile(r"[A-Za-z0-9_.-]+")
 # Origins that browsers may call from.
-ORIGINS = frozenset(f"http://{host}:{port}" for host, port in (("localhost", 3000), ("localhost", 5173), ("localhost", 4173), ("127.0.0.1", 5173), ("127.0.0.1", 4173)))
+ORIGINS = (
+    "http://localhost:3000",
+    "http://localhost:5173",
+    "http://localhost:4173",
+    "http://127.0.0.1:5173",
+    "http://127.0.0.1:4173",
+)
 
 
 class Refused(Exception):

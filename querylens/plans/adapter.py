@@ -63,7 +63,7 @@ logs as (select event_id as id, 'h' || (event_id % 4) as file_hash,
   ts, ts as created_at,
   case user_id % 3 when 0 then ['shop.' || event_type, event_type] when 1 then ['analytics.' || event_type, event_type] else [event_type] end as tables,
   event_id as event_offset from events),
-files as (select * from (values {", ".join(repr(f) for f in FILES)}) as f(hash, file_path, generation, file_size, parse_count)),
+files as (select hash, file_path, generation, file_size::bigint as file_size, parse_count from (values {", ".join(repr(f) for f in FILES)}) as f(hash, file_path, generation, file_size, parse_count)),
 records as (select l.*, regexp_replace(regexp_replace(f.file_path, '^.*[/\\\\]', ''), '(\\.(log|slow|gz))+$', '', 'i') as source_host
   from logs l left join files f on l.file_hash = f.hash)
 """

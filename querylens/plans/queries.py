@@ -385,8 +385,8 @@ _sql("sql_cube", "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) a
 _sql("sql_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup (o_orderstatus, o_orderpriority)")
 _sql("sql_grouping_sets", "select c_mktsegment, c_nationkey, count(*) as n from customer group by grouping sets ((c_mktsegment), (c_nationkey), ())")
 _sql("sql_filter_aggregate", "select event_type, count(*) filter (where value > 10) as large, count(distinct user_id) as users from events group by event_type")
-_sql("sql_window_rank", """select * from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn,
-rank() over (partition by o_custkey order by o_orderpriority) as rk, dense_rank() over (partition by o_custkey order by o_orderstatus) as dr from orders) t where rn <= 3""")
+_sql("sql_window_rank", """select * from (select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as bigint) as rn,
+cast(rank() over (partition by o_custkey order by o_orderpriority) as bigint) as rk, cast(dense_rank() over (partition by o_custkey order by o_orderstatus) as bigint) as dr from orders) t where rn <= 3""")
 _sql("sql_window_frames", """select event_id, lag(event_id) over (partition by user_id order by ts, event_id) as before, lead(event_id, 2) over (partition by user_id order by ts, event_id) as after,
 round(sum(value) over (partition by user_id order by ts, event_id rows between 2 preceding and current row), 4) as moving,
 first_value(event_id) over (partition by user_id order by ts, event_id) as first from events""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+# The events whose fingerprints and costs are known.
 #: file, age in days, user, host, ip, schema, query and lock time, rows sent and examined, database of USE, statement
 CONTRACT = (
     ("shop-slow.log", 3, "app", "web1", "10.0.0.1", "shop", 2.5, 0.0001, 1, 100000, "shop", "SELECT * FROM orders WHERE customer_id = 7 AND status = 'paid'"),
