@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch sent to Python.  Texts run to many kilobytes, so
@@ -25,6 +26,12 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def release_memory() -> None:
+    """Hand Arrow's free memory back at the end of a Python task; workers are
+    used again and would hold on to the most they ever had."""
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, stored
-from querylens.llm.tokens import tokenizer
+from querylens.llm.common import bounded_batches, release_memory, stored
+from querylens.llm.tokens import grouped, tokenizer
 
 #: Tokens of a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 1
@@ -34,7 +34,7 @@ CELL, ROUNDS = 40_000, 3
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in grouped(batches, 1):
             ids, sizes = tok.encode(batch.column(1))
             rows, cols = [], [[], [], [], []]
             at = 0
@@ -51,6 +51,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        release_memory()
 
     return run
 

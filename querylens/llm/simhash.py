@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, drop, fresh, stored
+from querylens.llm.common import bounded_batches, drop, fresh, release_memory, stored
 from querylens.llm.components import connected_components
 
 #: Bits by which linked fingerprints may differ.
@@ -163,6 +163,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = fps[at : at + 20_000]
             row, side, key = golay_keys(part.view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(side), pa.array(key)], names=["fp", "side", "key"])
+    release_memory()
 
 
 def _family(xor: str) -> str:

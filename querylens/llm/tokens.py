@@ -9,15 +9,17 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Runs and ids a worker keeps before it starts anew (about 150 MB).
-KEPT_RUNS, KEPT_IDS = 500_000, 4_000_000
+#: Words that a worker remembers before it starts anew (about 60 MB).
+KEPT = 300_000
+#: Bytes of text that are encoded at once: the more, the fewer runs come twice.
+GROUP = 16 << 20
 #: Runs encoded in one call.
 TOGETHER = 4096
 #: The words pattern of the tokenizers that are split by run.
@@ -78,10 +80,7 @@ class RaggedTokenizer:
         )
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint32)
+        self.hard: dict[str, np.ndarray] = {}
         # words of simple runs: number 0 is the line's end between runs
         self.words: dict[str, int] = {"\n": 0}
         self.word_starts = np.zeros(1, dtype=np.int64)
@@ -134,22 +133,26 @@ class RaggedTokenizer:
                 start = end + 1
         return out
 
-    def _numbers(self, runs: list[str]) -> np.ndarray:
-        if len(self.known) + len(runs) > KEPT_RUNS or len(self.ids) > KEPT_IDS:
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each run start, how many it has)."""
+        if len(self.words) > KEPT or len(self.hard) > KEPT // 4:
             self._forget()
-        known = self.known
-        new = [r for r in runs if r not in known]
-        if new:
-            simple = [r for r in new if ("<" not in r if r.isascii() else SIMPLE.fullmatch(r))]
-            easy, sizes = self._encode_simple(simple) if simple else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-            rest = new if not simple else list(set(new).difference(simple)) if len(simple) < len(new) else []
-            hard = self._encode_hard(rest) if rest else []
-            sizes = np.concatenate([sizes, np.array([len(x) for x in hard], dtype=np.int64)])
-            known.update(zip(chain(simple, rest), range(len(self.starts), len(self.starts) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, easy, *hard])
-        return np.fromiter(map(known.__getitem__, runs), dtype=np.int64, count=len(runs))
+        simple = np.array([("<" not in r) if r.isascii() else SIMPLE.fullmatch(r) is not None for r in runs], dtype=bool)
+        easy = np.nonzero(simple)[0].tolist()
+        ids, own = self._encode_simple([runs[i] for i in easy] if len(easy) < len(runs) else runs) if easy else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        sizes = np.zeros(len(runs), dtype=np.int64)
+        sizes[easy] = own
+        starts = np.zeros(len(runs), dtype=np.int64)
+        starts[easy] = np.cumsum(own) - own
+        rest = np.nonzero(~simple)[0].tolist()
+        if rest:
+            new = [runs[i] for i in rest if runs[i] not in self.hard]
+            self.hard.update(zip(new, self._encode_hard(new)))
+            found = [self.hard[runs[i]] for i in rest]
+            sizes[rest] = own = np.array([len(x) for x in found], dtype=np.int64)
+            starts[rest] = len(ids) + np.cumsum(own) - own
+            ids = np.concatenate([ids, *found])
+        return ids, starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text); a null text has none."""
@@ -162,10 +165,24 @@ class RaggedTokenizer:
         runs = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         if not len(runs):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        number = self._numbers(runs.dictionary.to_pylist())[runs.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.sizes[number]
-        edges = np.concatenate([[0], np.cumsum(sizes)])[bounds - bounds[0]]
-        return gathered(self.ids, self.starts[number], sizes), np.diff(edges)
+        ids, starts, sizes = self._encode_runs(runs.dictionary.to_pylist())
+        number = runs.indices.to_numpy(zero_copy_only=False)
+        edges = np.concatenate([[0], np.cumsum(sizes[number])])[bounds - bounds[0]]
+        return gathered(ids, starts[number], sizes[number]), np.diff(edges)
+
+
+def grouped(batches: Iterable[pa.RecordBatch], column: int, size: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``size`` bytes of text each."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.column(column).nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=1)
