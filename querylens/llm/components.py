@@ -16,16 +16,22 @@ from querylens.llm.common import drop, stored
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Connect each node's neighbours (larger ones, or smaller ones and itself)
-    to the smallest neighbour."""
+    to the smallest neighbour, as a written table.
+
+    The smallest neighbours are written before they are joined: a hub's links
+    then meet one row over two plain exchanges, which AQE can split.
+    """
     pairs = links if small else links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = stored(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     joined = pairs.join(least, "a")
     if small:  # a > b holds in every link
         out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionAll(least.where("a <> m").select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.distinct()
+    out = stored(out.distinct(), "links")
+    drop(least)
+    return out
 
 
 def _state(links: DataFrame) -> tuple:
@@ -41,8 +47,10 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = stored(links.where("not bad and a <> b").select("a", "b").distinct(), "links")
     state = _state(now)
     while state[0]:
-        nxt = stored(_star(_star(now, small=False), small=True), "links")
+        large = _star(now, small=False)
+        nxt = _star(large, small=True)
         after = _state(nxt)
+        drop(large)
         drop(now)
         now, done, state = nxt, after == state, after
         if done:

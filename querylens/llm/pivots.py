@@ -128,8 +128,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     sizes = grouped.select(F.col("node").alias("v"), F.col("n").alias("n_v"))
     degree = ends.join(sizes, "v").groupBy("u").agg(F.sum("n_v").alias("n_other"))
     parts = connected_components(links, "a", "b")
-    parts = grouped.select("node", "least").join(parts, "node")
-    parts = parts.join(parts.groupBy("component").agg(F.min("least").alias("of_component")), "component").select(F.col("node").alias("p_node"), "of_component")
+    parts = stored(grouped.select("node", "least").join(parts, "node"), "parts")
+    # written first, so that a component of any size meets its least id evenly
+    least = stored(parts.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("of_component")), "least")
+    parts = parts.join(least, F.col("component") == F.col("of")).select(F.col("node").alias("p_node"), "of_component")
     nodes = grouped.join(degree, F.col("node") == F.col("u"), "left").join(parts, F.col("node") == F.col("p_node"), "left")
     nodes = nodes.select(
         F.col("node").alias("g_node"),

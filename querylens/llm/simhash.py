@@ -206,11 +206,13 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = stored(near_fingerprints(nodes.select("fp")), "near")
     parts = connected_components(links, "a", "b")
     drop(links)
-    parts = nodes.join(parts, nodes.fp == parts.node)
-    least = parts.groupBy("component").agg(F.min("least").alias("of_component"))
-    linked = parts.join(least, "component").select("fp", "of_component")
+    parts = stored(nodes.join(parts, nodes.fp == parts.node).select("fp", "least", "component"), "parts")
+    # written first, so that a component of any size meets its least id evenly
+    least = stored(parts.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("of_component")), "least")
+    linked = parts.join(least, F.col("component") == F.col("of")).select("fp", "of_component")
     ids = stored(nodes.join(linked, "fp", "left").select(F.col("fp").alias("node_fp"), F.coalesce("of_component", "least").alias("component_id")), "components")
-    drop(nodes)
+    for done in (nodes, parts, least):
+        drop(done)
     return fp.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fingerprint", "component_id")
 
 
