@@ -38,7 +38,8 @@ def normalised(text: str | None) -> bytes:
     """Lower-cased letters; whatever stands around them is one space.  Empty if
     there are none."""
     found = NOT_LETTERS.sub(" ", f" {text or ''} ".lower())
-    return b"" if found == " " else found.encode("utf-8", "replace")
+    # other signs that words are made of, such as fractions, are no letters
+    return found.encode("utf-8", "replace") if any(map(str.isalpha, found)) else b""
 
 
 @dataclass(frozen=True)

@@ -132,6 +132,11 @@ def test_languages_of_odd_rows(spark, odd):
     assert langid.drop_unidentified(odd).columns == odd.columns
 
 
+def test_letters():
+    assert langid.normalised("12 \u00bd _?!") == langid.normalised(None) == b""
+    assert langid.normalised("É1a\u00bd") == " é a\u00bd ".encode()
+
+
 def test_narrow_margins_tie_to_the_frequent():
     model = langid.Model(("b", "a"), (b"the same words " * 9,) * 2)
     assert langid.classify("the same words", model.languages, model.compressors()) == ("b", 0.0)
