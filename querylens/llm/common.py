@@ -4,6 +4,7 @@ columns with private names and bounded Arrow batches."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -27,9 +28,12 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def release_memory() -> None:
-    """Hand Arrow's free memory back at the end of a Python task; workers are
-    used again and would hold on to the most they ever had."""
+    """Hand free memory back at the end of a Python task; workers are used again
+    and would hold on to the most they ever had."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -35,17 +35,18 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in grouped(batches, 1):
-            ids, sizes = tok.encode(batch.column(1))
-            rows, cols = [], [[], [], [], []]
-            at = 0
-            for row, size in enumerate(sizes.tolist()):
-                own = np.append(ids[at : at + size], np.uint32(end_id)).astype("<u4")
-                at += size
-                for piece, start in enumerate(range(0, size + 1, capacity)):
-                    part = own[start : start + capacity]
-                    rows.append(row)
-                    for col, x in zip(cols, (piece, start, len(part), zlib.crc32(part))):
-                        col.append(x)
+            rows, cols, row = [], [[], [], [], []], 0
+            for ids, sizes in tok.encode_slices(batch.column(1)):
+                at = 0
+                for size in sizes.tolist():
+                    own = np.append(ids[at : at + size], np.uint32(end_id)).astype("<u4", copy=False)
+                    at += size
+                    for piece, start in enumerate(range(0, size + 1, capacity)):
+                        part = own[start : start + capacity]
+                        rows.append(row)
+                        for col, x in zip(cols, (piece, start, len(part), zlib.crc32(part))):
+                            col.append(x)
+                    row += 1
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))],

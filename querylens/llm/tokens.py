@@ -11,15 +11,19 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers before it starts anew (about 60 MB).
-KEPT = 300_000
+#: Words that a worker remembers from one group of texts to the next: those it
+#: met first, which the frequent ones are among.
+KEPT = 100_000
 #: Bytes of text that are encoded at once: the more, the fewer runs come twice.
-GROUP = 16 << 20
+GROUP = 4 << 20
+#: Ids that are put together at once; bounds memory whatever the texts.
+SLICE = 1 << 19
 #: Runs encoded in one call.
 TOGETHER = 4096
 #: The words pattern of the tokenizers that are split by run.
@@ -43,7 +47,9 @@ def _byte_characters() -> dict[int, int]:
 def gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The stretches of ``ids`` at some starts, one after the other."""
     ends = np.cumsum(sizes)
-    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    where = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    where += np.arange(len(where), dtype=np.int32)
+    return ids[where]
 
 
 class RaggedTokenizer:
@@ -87,6 +93,15 @@ class RaggedTokenizer:
         self.word_sizes = np.zeros(1, dtype=np.int64)
         self.word_ids = np.zeros(0, dtype=np.uint32)
 
+    def _forget_late(self) -> None:
+        """Keep the first words only."""
+        if len(self.hard) > KEPT // 4:
+            self.hard = dict(islice(self.hard.items(), KEPT // 8))
+        if len(self.words) > KEPT:
+            self.words = dict(islice(self.words.items(), KEPT))
+            self.word_starts, self.word_sizes = self.word_starts[:KEPT].copy(), self.word_sizes[:KEPT].copy()
+            self.word_ids = self.word_ids[: int(self.word_starts[-1] + self.word_sizes[-1])].copy()
+
     def _learn(self, words: list[str]) -> None:
         """Number words that are new, with their ids by the model."""
         tokenize, alphabet, found, sizes = self.tokenizer.model.tokenize, self.alphabet, [], []
@@ -135,8 +150,7 @@ class RaggedTokenizer:
 
     def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where those of each run start, how many it has)."""
-        if len(self.words) > KEPT or len(self.hard) > KEPT // 4:
-            self._forget()
+        self._forget_late()
         simple = np.array([("<" not in r) if r.isascii() else SIMPLE.fullmatch(r) is not None for r in runs], dtype=bool)
         easy = np.nonzero(simple)[0].tolist()
         ids, own = self._encode_simple([runs[i] for i in easy] if len(easy) < len(runs) else runs) if easy else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
@@ -156,19 +170,32 @@ class RaggedTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text); a null text has none."""
+        parts = list(self.encode_slices(texts))
+        none = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        return tuple(np.concatenate(x) for x in zip(none, *parts))
+
+    def encode_slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What :meth:`encode` returns, in slices of whole texts."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_run:
-            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return np.array([i for x in found for i in x], dtype=np.uint32), np.array([len(x) for x in found], dtype=np.int64)
+            for text in texts:
+                found = np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, dtype=np.uint32)
+                yield found, np.array([len(found)], dtype=np.int64)
+            return
         split = pc.ascii_split_whitespace(texts)
         bounds = split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         runs = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        if not len(runs):
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
-        ids, starts, sizes = self._encode_runs(runs.dictionary.to_pylist())
+        bounds -= bounds[0]
+        del split
         number = runs.indices.to_numpy(zero_copy_only=False)
-        edges = np.concatenate([[0], np.cumsum(sizes[number])])[bounds - bounds[0]]
-        return gathered(ids, starts[number], sizes[number]), np.diff(edges)
+        ids, starts, sizes = self._encode_runs(runs.dictionary.to_pylist())
+        edges = np.concatenate([[0], np.cumsum(sizes[number])])[bounds]
+        row = 0
+        while row < len(texts):
+            last = max(row + 1, int(np.searchsorted(edges, edges[row] + SLICE, side="right")) - 1)
+            own = number[bounds[row] : bounds[last]]
+            yield gathered(ids, starts[own], sizes[own]), np.diff(edges[row : last + 1])
+            row = last
 
 
 def grouped(batches: Iterable[pa.RecordBatch], column: int, size: int = GROUP) -> Iterator[pa.RecordBatch]:
