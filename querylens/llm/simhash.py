@@ -20,6 +20,12 @@ So each fingerprint gives about 65 keys and no bucket is capped.  The join
 verifies the distance, and admits a pair only in the one family its error
 pattern names, so that a pair of near fingerprints comes out once or twice
 and not once for every key in common.
+
+A group of near copies has very many such pairs.  So that they aren't all
+made, neighbours are linked first: of the fingerprints that agree but for one
+segment, each and the next in order, if they are near.  That is three links a
+fingerprint at most and joins what is dense; the keys then look for links
+between what it left apart, which is all that components need.
 """
 
 from __future__ import annotations
@@ -158,11 +164,11 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
+        fps, groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         for at in range(0, len(fps), 20_000):
-            part = fps[at : at + 20_000]
+            part, group = fps[at : at + 20_000], groups[at : at + 20_000]
             row, side, key = golay_keys(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(side), pa.array(key)], names=["fp", "side", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(group[row]), pa.array(side), pa.array(key)], names=["fp", "part", "side", "key"])
     release_memory()
 
 
@@ -175,17 +181,33 @@ def _family(xor: str) -> str:
     )
 
 
+def neighbours(fps: DataFrame) -> DataFrame:
+    """Some of the links ``(a, b)`` between the distinct fingerprints in column
+    ``fp``: of those that differ in one segment only, each with the one before.
+
+    At most 2^22 fingerprints can agree in the other segments, however many
+    copies there are, so a window's partition is bounded.
+    """
+    others = [((1 << 64) - 1) ^ (((1 << n) - 1) << at) for at, n in SEGMENTS]
+    signed = [m - (1 << 64) if m >> 63 else m for m in others]
+    keys = F.array(*[F.struct(F.lit(i).alias("segment"), F.col("fp").bitwiseAND(F.lit(m)).alias("rest")) for i, m in enumerate(signed)])
+    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.segment", "k.rest")
+    before = F.lag("fp").over(Window.partitionBy("segment", "rest").orderBy("fp"))
+    return rows.select(before.alias("a"), F.col("fp").alias("b")).where(f"bit_count(a ^ b) <= {DISTANCE}")
+
+
 def near_fingerprints(fps: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` between the distinct signed 64-bit fingerprints in
-    column ``fp`` that differ in 1 to :data:`DISTANCE` bits; complete."""
+    """Links ``(a, b, part_a, part_b)`` between the distinct signed 64-bit
+    fingerprints in column ``fp`` that differ in 1 to :data:`DISTANCE` bits and
+    whose ``part`` (a long) isn't the same; complete."""
     # batches are of longs here, so many rows make a small one; _keys cuts them
-    keys = fps.mapInArrow(_keys, "fp long, side byte, key long")
-    left = keys.where("side = 0").select(F.col("fp").alias("a"), "key")
-    right = keys.where("side = 1").select(F.col("fp").alias("b"), F.col("key").alias("key_b"))
+    keys = fps.select("fp", "part").mapInArrow(_keys, "fp long, part long, side byte, key long")
+    left = keys.where("side = 0").select(F.col("fp").alias("a"), F.col("part").alias("part_a"), "key")
+    right = keys.where("side = 1").select(F.col("fp").alias("b"), F.col("part").alias("part_b"), F.col("key").alias("key_b"))
     close = F.expr(
-        f"key = key_b and a < b and bit_count(a ^ b) <= {DISTANCE} and shiftright(key, 56) = {_family('(a ^ b)')}"
+        f"key = key_b and a < b and part_a <> part_b and bit_count(a ^ b) <= {DISTANCE} and shiftright(key, 56) = {_family('(a ^ b)')}"
     )
-    return left.join(right.hint("merge"), close).select("a", "b")
+    return left.join(right.hint("merge"), close).select("a", "b", "part_a", "part_b")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,15 +225,18 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fp = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fingerprint")
     fp = stored(fp.withColumn("fp", F.expr("cast(conv(fingerprint, 16, -10) as long)")), "fingerprints")
     nodes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = stored(near_fingerprints(nodes.select("fp")), "near")
-    parts = connected_components(links, "a", "b")
-    drop(links)
-    parts = stored(nodes.join(parts, nodes.fp == parts.node).select("fp", "least", "component"), "parts")
+    close = stored(neighbours(nodes.select("fp")), "close")
+    parts = stored(connected_components(close, "a", "b"), "dense")
+    nodes_in = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "dense-nodes")
+    links = stored(near_fingerprints(nodes_in).select("part_a", "part_b").distinct(), "near")
+    joined = stored(connected_components(links, "part_a", "part_b"), "parts")
+    whole = nodes_in.join(joined, F.col("part") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "part").alias("component"))
+    whole = stored(whole, "whole")
     # written first, so that a component of any size meets its least id evenly
-    least = stored(parts.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("of_component")), "least")
-    linked = parts.join(least, F.col("component") == F.col("of")).select("fp", "of_component")
-    ids = stored(nodes.join(linked, "fp", "left").select(F.col("fp").alias("node_fp"), F.coalesce("of_component", "least").alias("component_id")), "components")
-    for done in (nodes, parts, least):
+    least = stored(whole.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id")), "least")
+    ids = whole.join(least, F.col("component") == F.col("of")).select(F.col("fp").alias("node_fp"), "component_id")
+    ids = stored(ids, "components")
+    for done in (nodes, close, parts, nodes_in, links, joined, whole, least):
         drop(done)
     return fp.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fingerprint", "component_id")
 

@@ -485,11 +485,33 @@ def test_every_near_pair_is_linked_once_or_twice(spark):
         for bit in rng.choice(64, 1 + i % 5, replace=False):
             near[i] ^= np.uint64(1) << np.uint64(bit)
     fps = np.unique(np.concatenate([base, near])).view(np.int64)
-    got = simhash.near_fingerprints(spark.createDataFrame([(int(x),) for x in fps], "fp long")).collect()
+    df = spark.createDataFrame([(int(x), i) for i, x in enumerate(fps)], "fp long, part long")
+    got = simhash.near_fingerprints(df).collect()
     pairs = {(min(int(a), int(b)), max(int(a), int(b))) for i, a in enumerate(fps) for b in fps[:i] if int(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))) <= 4}
     assert {(r.a, r.b) for r in got} == pairs and len(pairs) >= 320 and len(got) <= 2 * len(pairs)
 
 
+def test_dense_groups_are_joined_by_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centre = np.uint64(0x0123456789ABCDEF)
+    fps = {int(centre)}
+    while len(fps) < 1500:  # near copies: up to three flipped bits each
+        x = centre
+        for bit in rng.choice(64, rng.integers(1, 4), replace=False):
+            x ^= np.uint64(1) << np.uint64(bit)
+        fps.add(int(x))
+    rows = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    df = spark.createDataFrame(rows, "fp long")
+    links = simhash.neighbours(df).collect()
+    assert len(links) <= 3 * len(rows) and all((r.a ^ r.b) & (2**64 - 1) and ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 4 for r in links)
+    parts = components.connected_components(simhash.neighbours(df), "a", "b")
+    sizes = sorted((r["count"] for r in parts.groupBy("component").count().collect()), reverse=True)
+    assert sizes[0] > len(rows) / 2  # most of a dense group is one part already
+    joined = df.join(parts, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("part"))
+    every = sum(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for i, (a,) in enumerate(rows) for (b,) in rows[:i])
+    assert simhash.near_fingerprints(joined).count() < every / 2
+
+
 # op9
 
 BASE = {
