@@ -25,6 +25,8 @@ COSINE = 0.98
 #: Vectors sampled (by hash of their id) to choose pivots from, and the most
 #: pivots chosen.  This bounds what the driver and each task hold.
 SAMPLE, PIVOTS = 2048, 256
+#: Longs that hold a set of pivots.
+WORDS = PIVOTS // 64
 #: Nearest pivots that describe a vector, and pivots that a pair must share.
 NEAREST, SHARED = 8, 3
 #: A pivot closer than this to one already chosen adds nothing.
@@ -75,6 +77,17 @@ def _lists() -> F.Column:
     return F.when(F.size("near") < SHARED, F.array(F.lit(0).cast("long"))).otherwise(keys)
 
 
+def _word(i: int) -> str:
+    """SQL: the pivots 64 i to 64 i + 63 of ``near`` as bits."""
+    return f"aggregate(near, 0L, (s, p) -> s | if(p div 64 = {i}, shiftleft(1L, p % 64), 0L))"
+
+
+def _mask(i: int) -> str:
+    """SQL: the bits of word i up to the last pivot of ``list``."""
+    last = f"cast(shiftright(list, {20 * (SHARED - 1)}) as int)"
+    return f"case when {last} >= {64 * i + 63} then -1L when {last} < {64 * i} then 0L else shiftrightunsigned(-1L, {64 * i + 63} - {last}) end"
+
+
 def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links ``(a, b, shared, cosine)``, a < b, between the rows of ``nodes``:
     (node, block, vector array<double>), no vector null, zero or non-finite.
@@ -87,14 +100,17 @@ def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     told = nodes.select("node", "vector").mapInArrow(_described(pivots), "node long, permutation array<int>")
     sized = nodes.select(F.col("node").alias("id"), "block", F.size("vector").alias("n"))
     told = told.join(sized, F.col("node") == F.col("id")).withColumn("near", F.array_sort("permutation"))
-    lists = stored(told.select("node", "near", "block", "n", F.explode(_lists()).alias("list")), "pivot-lists")
-    left = lists.select(F.col("node").alias("a"), F.col("near").alias("near_a"), "block", "n", "list")
-    right = lists.select(F.col("node").alias("b"), F.col("near").alias("near_b"), F.col("block").alias("block_b"), F.col("n").alias("n_b"), F.col("list").alias("list_b"))
-    # a pair meets in every list it shares; only the first of them admits it
-    both = F.array_intersect("near_a", "near_b")
-    first = " | ".join(f"shiftleft(cast(both[{i}] as long), {20 * i})" for i in range(SHARED))
-    met = left.join(right.hint("merge"), F.expr("block = block_b and n = n_b and list = list_b and a < b")).select("a", "b", "list", both.alias("both"))
-    met = met.where(F.expr(f"list = 0 or list = ({first})")).select("a", "b", F.size("both").alias("shared"))
+    told = told.withColumns({f"w{i}": F.expr(_word(i)) for i in range(WORDS)})
+    words = [f"w{i}" for i in range(WORDS)]
+    lists = stored(told.select("node", *words, "block", "n", F.explode(_lists()).alias("list")), "pivot-lists")
+    left = lists.select(F.col("node").alias("a"), *words, "block", "n", "list")
+    right = lists.select(*[F.col(c).alias(f"{c}_b") for c in ("node", *words, "block", "n", "list")]).withColumnRenamed("node_b", "b")
+    # a pair meets in every list it shares; only that of its first three pivots
+    # admits it: up to the last of them it shares three
+    upto = " + ".join(f"bit_count(w{i} & w{i}_b & {_mask(i)})" for i in range(WORDS))
+    met = f"block = block_b and n = n_b and list = list_b and a < b and (list = 0 or {upto} = {SHARED})"
+    shared = " + ".join(f"bit_count(w{i} & w{i}_b)" for i in range(WORDS))
+    met = left.join(right.hint("merge"), F.expr(met)).select("a", "b", F.expr(shared).alias("shared"))
     vectors = nodes.select("node", "vector")
     pairs = met.join(vectors.withColumnsRenamed({"node": "a", "vector": "x"}), "a").join(vectors.withColumnsRenamed({"node": "b", "vector": "y"}), "b")
     dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (s, t) -> s * t), 0d, (s, t) -> s + t)"
