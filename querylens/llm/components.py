@@ -14,23 +14,33 @@ from pyspark.sql import functions as F
 from querylens.llm.common import drop, stored
 
 
-def _star(links: DataFrame, small: bool) -> DataFrame:
+#: Links that one task holds; a bound, not a cap: more of them are shuffled.
+FEW = 100_000
+
+
+def _star(links: DataFrame, n: int, small: bool) -> DataFrame:
     """Connect each node's neighbours (larger ones, or smaller ones and itself)
     to the smallest neighbour, as a written table.
 
     The smallest neighbours are written before they are joined: a hub's links
-    then meet one row over two plain exchanges, which AQE can split.
+    then meet one row over two plain exchanges, which AQE can split.  Up to
+    :data:`FEW` links are one partition and need no exchange; the result is the
+    same.
     """
+    few = n <= FEW
     pairs = links if small else links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = stored(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    pairs = pairs.coalesce(1) if few else pairs
+    least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = least if few else stored(least, "least")
     joined = pairs.join(least, "a")
     if small:  # a > b holds in every link
         out = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionAll(least.where("a <> m").select("a", F.col("m").alias("b")))
     else:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = stored(out.distinct(), "links")
-    drop(least)
+    out = stored((out.coalesce(1) if few else out).distinct(), "links")
+    if not few:
+        drop(least)
     return out
 
 
@@ -47,8 +57,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = stored(links.where("not bad and a <> b").select("a", "b").distinct(), "links")
     state = _state(now)
     while state[0]:
-        large = _star(now, small=False)
-        nxt = _star(large, small=True)
+        large = _star(now, state[0], small=False)
+        nxt = _star(large, state[0], small=True)
         after = _state(nxt)
         drop(large)
         drop(now)
