@@ -72,7 +72,7 @@ def _described(pivots: dict[int, np.ndarray]):
 def _lists() -> F.Column:
     """All sets of :data:`SHARED` of the sorted nearest pivots, as one long each
     (all pivots there are, if fewer)."""
-    sets = [F.expr(" | ".join(f"shiftleft(cast(near[{i}] as long), {20 * at})" for at, i in enumerate(c))) for c in combinations(range(NEAREST), SHARED)]
+    sets = [F.expr(" | ".join(f"shiftleft(cast(get(near, {i}) as long), {20 * at})" for at, i in enumerate(c))) for c in combinations(range(NEAREST), SHARED)]
     keys = F.filter(F.array(*sets), lambda k: k.isNotNull())
     return F.when(F.size("near") < SHARED, F.array(F.lit(0).cast("long"))).otherwise(keys)
 

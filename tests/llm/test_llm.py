@@ -202,6 +202,18 @@ def test_pivots_on_odd_rows(spark):
     assert pivots.near_vectors(empty(vectors(spark, rows))).collect() == []
 
 
+@pytest.mark.parametrize("axes", [1, 2, 3, 5, 8])
+def test_few_pivots(spark, axes):
+    rng = np.random.default_rng(axes)
+    rows = []
+    for i in range(60):
+        v = np.zeros(9)
+        v[i % axes] = 1
+        rows.append((i, [float(np.float32(x)) for x in v + rng.normal(scale=0.04, size=9)], 0))
+    got = pivots.near_vectors(vectors(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_links(rows))
+
+
 def test_pivot_recall_on_the_table(spark):
     df = table(spark, "/root/testdata/check_s", "embeddings").where("label in (1, 2)")
     rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
