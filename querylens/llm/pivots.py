@@ -159,3 +159,19 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     out = rows.join(nodes, F.col("r_node") == F.col("g_node"), "left")
     out = out.select("vec_id", F.coalesce("g_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("g_component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def oracle(embeddings: str = "embeddings", cosine: float = COSINE) -> str:
+    """DuckDB SQL of :func:`near_vectors`, by all pairs, for unique ids."""
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    return f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from {embeddings}),
+s as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (select x.vec_id as a, y.vec_id as b from s x join s y on x.label = y.label and x.vec_id < y.vec_id and len(x.e) = len(y.e)
+  where {dot('x.e', 'y.e')} / sqrt({dot('x.e', 'x.e')} * {dot('y.e', 'y.e')}) >= {cosine}),
+l as (select a, b from p union all select b, a from p),
+r(node, reached) as (select vec_id, vec_id from v union select r.node, l.b from r join l on r.reached = l.a),
+c as (select node, min(reached) as component_id from r group by node),
+n as (select a, count(*) as n_links from l group by a)
+select v.vec_id, coalesce(n.n_links, 0)::bigint as n_links, c.component_id, v.vec_id = c.component_id as kept
+from v join c on c.node = v.vec_id left join n on n.a = v.vec_id"""

@@ -87,6 +87,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_archives": warc.oracle(),
+        "op3_pivot_near_dedup": pivots.oracle(),
         "op5_url_filter": urlfilter.oracle(url_model()),
         "op6_poisson_mixing": mixing.oracle(),
         "op10_merkle_fingerprints": merkle.oracle(),
