@@ -49,8 +49,8 @@ def _state(links: DataFrame) -> tuple:
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, component)`` for every node of a link; component is the smallest
-    node reachable.  Self-links, repeated links and either direction are fine;
+    """``(node, component)`` for every node of a link, as a written table (see
+    ``drop``); component is the smallest node reachable.  Self-links, repeated links and either direction are fine;
     links with a null end are ignored; no links give an empty table.
     """
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"), F.expr(f"{a} is null or {b} is null").alias("bad"))
@@ -67,4 +67,6 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             break
     # at rest every link goes from a node to the smallest of its component
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = stored(nodes.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+    drop(now)
+    return out

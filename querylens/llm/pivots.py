@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, stored
+from querylens.llm.common import bounded_batches, drop, stored
 from querylens.llm.components import connected_components
 
 #: Least cosine of a link.
@@ -89,7 +89,7 @@ def _mask(i: int) -> str:
 
 
 def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Links ``(a, b, shared, cosine)``, a < b, between the rows of ``nodes``:
+    """Links ``(a, b, shared, cosine)``, a < b, as a written table, between the rows of ``nodes``:
     (node, block, vector array<double>), no vector null, zero or non-finite.
 
     Only rows with equal blocks and equally many dimensions are compared.
@@ -116,7 +116,9 @@ def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (s, t) -> s * t), 0d, (s, t) -> s + t)"
     # one square root, so that a vector and its copies have cosine 1 exactly
     pairs = pairs.withColumn("cosine", F.expr(f"{dot('x', 'y')} / sqrt({dot('x', 'x')} * {dot('y', 'y')})"))
-    return pairs.where(F.col("cosine") >= cosine).select("a", "b", "shared", "cosine")
+    out = stored(pairs.where(F.col("cosine") >= cosine).select("a", "b", "shared", "cosine"), "vector-links")
+    drop(lists)
+    return out
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -139,22 +141,24 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     grouped = rows.where("sound").groupBy("block", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     # the index must be unique per node, also where all ids of one are null
     grouped = stored(grouped.withColumn("node", F.expr("xxhash64(block, vector)")), "vectors")
-    links = stored(linked_pairs(grouped.select("node", "block", "vector"), cosine), "vector-links")
+    links = linked_pairs(grouped.select("node", "block", "vector"), cosine)
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     sizes = grouped.select(F.col("node").alias("v"), F.col("n").alias("n_v"))
     degree = ends.join(sizes, "v").groupBy("u").agg(F.sum("n_v").alias("n_other"))
-    parts = connected_components(links, "a", "b")
-    parts = stored(grouped.select("node", "least").join(parts, "node"), "parts")
+    found = connected_components(links, "a", "b")
+    parts = stored(grouped.select("node", "least").join(found, "node"), "parts")
     # written first, so that a component of any size meets its least id evenly
     least = stored(parts.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("of_component")), "least")
-    parts = parts.join(least, F.col("component") == F.col("of")).select(F.col("node").alias("p_node"), "of_component")
-    nodes = grouped.join(degree, F.col("node") == F.col("u"), "left").join(parts, F.col("node") == F.col("p_node"), "left")
+    linked = parts.join(least, F.col("component") == F.col("of")).select(F.col("node").alias("p_node"), "of_component")
+    nodes = grouped.join(degree, F.col("node") == F.col("u"), "left").join(linked, F.col("node") == F.col("p_node"), "left")
     nodes = nodes.select(
         F.col("node").alias("g_node"),
         (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("g_links"),
         F.coalesce("of_component", "least").alias("g_component"),
     )
     nodes = stored(nodes, "vector-nodes")
+    for done in (grouped, links, found, parts, least):
+        drop(done)
     rows = rows.select("vec_id", F.when(F.col("sound"), F.expr("xxhash64(block, vector)")).alias("r_node"))
     out = rows.join(nodes, F.col("r_node") == F.col("g_node"), "left")
     out = out.select("vec_id", F.coalesce("g_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("g_component", "vec_id").alias("component_id"))

@@ -226,10 +226,10 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fp = stored(fp.withColumn("fp", F.expr("cast(conv(fingerprint, 16, -10) as long)")), "fingerprints")
     nodes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     close = stored(neighbours(nodes.select("fp")), "close")
-    parts = stored(connected_components(close, "a", "b"), "dense")
+    parts = connected_components(close, "a", "b")
     nodes_in = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "dense-nodes")
     links = stored(near_fingerprints(nodes_in).select("part_a", "part_b").distinct(), "near")
-    joined = stored(connected_components(links, "part_a", "part_b"), "parts")
+    joined = connected_components(links, "part_a", "part_b")
     whole = nodes_in.join(joined, F.col("part") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "part").alias("component"))
     whole = stored(whole, "whole")
     # written first, so that a component of any size meets its least id evenly

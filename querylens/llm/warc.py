@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, new_path, stored
+from querylens.llm.common import bounded_batches, drop, new_path, stored
 
 #: Payloads sampled (by hash of the id) to train the dictionary on, and bytes
 #: taken of each; this bounds what the driver reads.
@@ -170,6 +170,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     again = F.col("least").isNotNull() & ~F.coalesce(F.col("least") == F.col("page_id"), F.lit(False))
     told = told.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("least")).alias("refers_to"))
     told.mapInArrow(_writer(dictionary), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    drop(twice)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
