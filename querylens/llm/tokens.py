@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 KEPT = 100_000
 #: Bytes of text that are encoded at once: the more, the fewer runs come twice.
 GROUP = 4 << 20
+#: Runs that are held as Python strings at once.
+RUNS = 40_000
 #: Ids that are put together at once; bounds memory whatever the texts.
 SLICE = 1 << 19
 #: Runs encoded in one call.
@@ -150,7 +152,6 @@ class RaggedTokenizer:
 
     def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where those of each run start, how many it has)."""
-        self._forget_late()
         simple = np.array([("<" not in r) if r.isascii() else SIMPLE.fullmatch(r) is not None for r in runs], dtype=bool)
         easy = np.nonzero(simple)[0].tolist()
         ids, own = self._encode_simple([runs[i] for i in easy] if len(easy) < len(runs) else runs) if easy else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
@@ -168,6 +169,16 @@ class RaggedTokenizer:
             ids = np.concatenate([ids, *found])
         return ids, starts, sizes
 
+    def _encode_dictionary(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`_encode_runs`, of some runs at a time."""
+        self._forget_late()
+        parts, before = [], 0
+        for at in range(0, len(runs), RUNS):
+            ids, starts, sizes = self._encode_runs(runs.slice(at, RUNS).to_pylist())
+            parts.append((ids, starts + before, sizes))
+            before += len(ids)
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=np.uint32), *[np.zeros(0, dtype=np.int64)] * 2)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text); a null text has none."""
         parts = list(self.encode_slices(texts))
@@ -188,7 +199,7 @@ class RaggedTokenizer:
         bounds -= bounds[0]
         del split
         number = runs.indices.to_numpy(zero_copy_only=False)
-        ids, starts, sizes = self._encode_runs(runs.dictionary.to_pylist())
+        ids, starts, sizes = self._encode_dictionary(runs.dictionary)
         edges = np.concatenate([[0], np.cumsum(sizes[number])])[bounds]
         row = 0
         while row < len(texts):
