@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querylens.llm import langid, mixing, packing, pii, simhash
+from querylens.llm import langid, mixing, packing, pii, similar
 from querylens.llm.common import stored
 from querylens.llm.queries import vocabulary_path
 
@@ -20,8 +20,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents linked by similarity of at least 0.8 on
+    five-word shingles the one with the smallest id stays."""
+    return similar.drop_similar(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus pipeline stage by stage, and as a whole against brute force."""
 
+import random
 import zlib
 
 import pytest
@@ -78,3 +79,35 @@ def test_odd_documents_pass(spark):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
+
+
+def test_near_copies_go_by_similarity(spark):
+    """Of texts at least 0.8 alike on five words one stays, however many bits
+    of a fingerprint differ; less alike ones stay."""
+    rng = random.Random(4)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for _ in range(60):
+        text = [rng.choice(words) for _ in range(rng.choice([4, 12, 60, 300]))]
+        for edits in (0, 0, 1, 2, 5, 9):
+            near = list(text)
+            for _ in range(edits):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            texts.append(" ".join(near))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
+    old = simhash.drop_near_duplicates(docs).count()
+    assert old > len(kept)  # four bits are fewer
