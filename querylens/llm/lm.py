@@ -6,8 +6,8 @@ predicts each word from the two before and the two after it (never itself);
 the sum of the log-probabilities of all words of a document is its score.
 
 The network: embeddings of the window, one hidden layer, and a softmax in two
-steps (a class of words, the word in its class).  It is trained on a fixed
-share of the windows of every document, in rounds: each task trains a copy on
+steps (a class of words, the word in its class).  It is trained on every
+window of every document, in rounds: each task trains a copy on
 its own documents, and the copies are averaged with their numbers of windows.
 """
 
@@ -31,8 +31,6 @@ CLASSES, IN_CLASS, ENDINGS = 32, 32, 63
 SIZE = CLASSES * IN_CLASS
 #: Words on each side, numbers of an embedding, hidden units.
 SIDE, DIMENSION, HIDDEN = 2, 16, 32
-#: One of so many windows is trained on, by a hash of its place.
-EVERY = 16
 ROUNDS, BATCH, RATE, SEED = 2, 256, 0.15, 7
 #: Words scored at once.
 BLOCK = 1 << 16
@@ -200,12 +198,6 @@ def train_step(net: Network, row: np.ndarray, places: np.ndarray, rate: float) -
     net.b1 -= step * back.sum(axis=0)
 
 
-def chosen(places: np.ndarray, turn: int) -> np.ndarray:
-    """The windows of a round: a fixed share, scattered over the places."""
-    mixed = (places.astype(np.uint64) + np.uint64(turn * 7919)) * np.uint64(0x9E3779B97F4A7C15)
-    return places[(mixed >> np.uint64(40)) % np.uint64(EVERY) == 0]
-
-
 def _ids(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column(column)]
 
@@ -215,7 +207,6 @@ def _trained(start: bytes, turn: int):
         net, n = Network(np.frombuffer(start, dtype=np.float32).copy()), 0
         for batch in batches:
             row, places, _ = padded(_ids(batch, 0))
-            places = chosen(places, turn)
             np.random.default_rng(SEED + turn).shuffle(places)
             for at in range(0, len(places), BATCH):
                 part = places[at : at + BATCH]
@@ -260,7 +251,8 @@ def train(ids: DataFrame) -> Network:
 
 def _scored(params: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(np.frombuffer(params, dtype=np.float32).copy())
+        # in doubles, so that a word's neighbours in a batch don't show in six decimals
+        net = Network(np.frombuffer(params, dtype=np.float32).astype(np.float64))
         tables = net.tables()
         for batch in batches:
             ids = _ids(batch, 1)
@@ -269,7 +261,7 @@ def _scored(params: bytes):
             for at in range(0, len(places), BLOCK):
                 part = slice(at, at + BLOCK)
                 total += np.bincount(doc[part], weights=log_probabilities(net, row, places[part], tables), minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(total)], names=["doc_id", "n_words", "log_probability"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "log_probability"])
 
     return run
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -254,6 +255,16 @@ def test_gradients_lower_the_loss():
     assert lm.log_probabilities(net, row, places).mean() > before + 2
 
 
+def test_every_window_is_trained_on_in_each_round():
+    rng = np.random.default_rng(3)
+    ids = [rng.integers(1, lm.SIZE, n).astype("<u2") for n in (0, 1, 5, 700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
+    for turn in range(lm.ROUNDS):
+        for cut in ([batch], [batch.slice(0, 3), batch.slice(3)]):  # however the rows are batched
+            got = [n for out in lm._trained(lm.Network.start().flat.tobytes(), turn)(iter(cut)) for n in out.column("n").to_pylist()]
+            assert set(got) == {706}
+
+
 def test_likely_documents_score_higher(spark, docs):
     got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
