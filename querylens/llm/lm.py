@@ -4,6 +4,8 @@ Words become numbers: the most frequent ones of the whole corpus have their
 own, the others share some by their ending.  A network trained in numpy
 predicts each word from the two before and the two after it (never itself);
 the sum of the log-probabilities of all words of a document is its score.
+A word that shares its number has, besides, its share of all occurrences of that
+number in the corpus: the counts of all words are a table that grows with it.
 
 The network: embeddings of the window, one hidden layer, and a softmax in two
 steps (a class of words, the word in its class).  It is trained on every
@@ -57,11 +59,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())], names=["word", "n"])
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> dict[str, int]:
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, n)`` of all words of all documents."""
+    bounded_batches(docs.sparkSession)
+    return docs.select(F.col(text).cast("string")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> dict[str, int]:
     """Numbers of the most frequent words of all documents, by falling count
     (ties: alphabetical), from 1."""
-    bounded_batches(docs.sparkSession)
-    counts = docs.select(F.col(text).cast("string")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = word_counts(docs, text) if counts is None else counts
     rows = counts.orderBy(F.desc("n"), "word").limit(SIZE - 1 - ENDINGS).collect()
     return {r.word: i for i, r in enumerate(rows, start=1)}
 
@@ -82,11 +89,35 @@ def _encoded(numbers: dict[str, int]):
             else:
                 flat = np.zeros(0, dtype="<u2")
             data = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), data], names=["doc_id", "ids"])
+            sharing = flat >= SIZE - ENDINGS
+            ends = np.concatenate([[0], np.cumsum(sharing)])[bounds]
+            shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(sharing)).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), data, shared], names=["doc_id", "ids", "shared"])
 
     return run
 
 
+def shares(counts: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """``(word, share)``: of each word that shares its number, the logarithm of
+    its share of the number's occurrences."""
+
+    @F.arrow_udf("int")
+    def number(words: pa.Array) -> pa.Array:
+        return pa.array([word_number(w, numbers) for w in words.to_pylist()], pa.int32())
+
+    own = counts.withColumn("number", number("word")).where(F.col("number") >= SIZE - ENDINGS)
+    all_of = own.groupBy(F.col("number").alias("of")).agg(F.sum("n").alias("total"))
+    return own.join(all_of, F.col("number") == F.col("of")).select("word", F.expr("ln(n / total)").alias("share"))
+
+
+def word_terms(ids: DataFrame, shares: DataFrame) -> DataFrame:
+    """``(term_row, term)``: the sum of the shares of each row's words."""
+    words = ids.select("row", F.explode("shared").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    # summed in one order, so that equal texts score the same
+    parts = words.join(shares, "word").groupBy("row").agg(F.sum(F.expr("cast(round(times * share, 9) as decimal(28,9))")).alias("term"))
+    return parts.select(F.col("row").alias("term_row"), F.col("term").cast("double").alias("term"))
+
+
 @dataclass
 class Network:
     """Parameters, as views of one flat vector."""
@@ -261,7 +292,7 @@ def _scored(params: bytes):
             for at in range(0, len(places), BLOCK):
                 part = slice(at, at + BLOCK)
                 total += np.bincount(doc[part], weights=log_probabilities(net, row, places[part], tables), minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.round(total, 6))], names=["doc_id", "n_words", "log_probability"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.round(total, 6))], names=["row", "n_words", "number_term"])
 
     return run
 
@@ -274,9 +305,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     columns don't matter; an empty table gives an empty one.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    numbers = vocabulary(docs)
+    counts = stored(word_counts(docs), "word-counts")
+    numbers = vocabulary(docs, counts=counts)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = stored(docs.mapInArrow(_encoded(numbers), f"doc_id {kind}, ids binary"), "word-numbers")
+    coded = docs.mapInArrow(_encoded(numbers), f"doc_id {kind}, ids binary, shared array<string>")
+    ids = stored(coded.withColumn("row", F.monotonically_increasing_id()), "word-numbers")
     net = train(ids)
-    out = ids.mapInArrow(_scored(net.flat.tobytes()), f"doc_id {kind}, n_words long, log_probability double")
+    terms = word_terms(ids, stored(shares(counts, numbers), "shares"))
+    scored = ids.select("row", "ids").mapInArrow(_scored(net.flat.tobytes()), "row long, n_words long, number_term double")
+    scored = ids.select("doc_id", F.col("row").alias("own")).join(scored, F.col("own") == F.col("row")).join(terms, F.col("own") == F.col("term_row"), "left")
+    out = scored.select("doc_id", "n_words", F.expr("round(number_term + coalesce(term, 0), 6)").alias("log_probability"))
     return out.withColumn("mean_log_probability", F.expr("if(n_words = 0, null, log_probability / n_words)"))

@@ -265,6 +265,15 @@ def test_every_window_is_trained_on_in_each_round():
             assert set(got) == {706}
 
 
+def test_every_word_has_its_own_prediction(spark):
+    common = [f"w{i}" for i in range(lm.SIZE)]
+    rows = [(100 + i, " ".join(common)) for i in range(12)]  # azzq isn't among the frequent
+    rows += [(3, "bzzq bzzq"), (4, "azzq azzq"), *[(9 + i, "azzq") for i in range(8)]]
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # one ending, one window: only how often the words are tells them apart
+    assert len(got) == len(rows) and np.isclose(got[4].log_probability - got[3].log_probability, 2 * np.log(10 / 2), atol=1e-4)
+
+
 def test_likely_documents_score_higher(spark, docs):
     got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
     texts = {r.doc_id: r.text for r in docs.collect()}
