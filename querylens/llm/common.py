@@ -8,12 +8,12 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch sent to Python.  Texts run to many kilobytes, so
-#: Spark's own default (10,000 rows) could make a batch of a gigabyte.
+#: Rows of an Arrow batch that a function works on at once.
 ARROW_ROWS = 1000
 
 
@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keep Arrow batches of whole texts small (a session setting)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most so many rows; none are empty.
+
+    Spark bounds a batch by bytes (``maxBytesPerBatch``, 64 MB unless set), so
+    that one of long texts is small already; this bounds what is made of it.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def release_memory() -> None:

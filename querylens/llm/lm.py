@@ -8,9 +8,11 @@ A word that shares its number has, besides, its share of all occurrences of that
 number in the corpus: the counts of all words are a table that grows with it.
 
 The network: embeddings of the window, one hidden layer, and a softmax in two
-steps (a class of words, the word in its class).  It is trained on every
-window of every document, in rounds: each task trains a copy on
-its own documents, and the copies are averaged with their numbers of windows.
+steps (a class of words, the word in its class) whose biases start at the
+corpus' frequencies.  Documents are dealt by hash into shards of about as many
+words each, so that neither the layout of the table nor the cluster shows in a
+score.  In each round a copy is trained on every window of every document of
+each shard, and the copies are averaged with their numbers of windows.
 """
 
 from __future__ import annotations
@@ -22,22 +24,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, drop, stored
+from querylens.llm.common import drop, release_memory, slices, stored
 
 #: Classes, and numbers in each class; the numbers of shared endings are the
 #: last of them, and number 0 stands beyond a document's edges.
-CLASSES, IN_CLASS, ENDINGS = 32, 32, 63
+CLASSES, IN_CLASS, ENDINGS = 128, 128, 511
 SIZE = CLASSES * IN_CLASS
 #: Words on each side, numbers of an embedding, hidden units.
 SIDE, DIMENSION, HIDDEN = 2, 16, 32
-ROUNDS, BATCH, RATE, SEED = 2, 256, 0.15, 7
-#: Words scored at once.
-BLOCK = 1 << 16
+#: Windows of a step of descent, and its rate (Adagrad).
+ROUNDS, BATCH, RATE, SEED = 1, 1 << 13, 0.8, 7
+#: Words of a shard, expected: what a task that trains holds, two bytes each.
+SHARD_WORDS = 2_000_000
+#: What the softmaxes are fed lies between this and its negative, so that no
+#: exponential overflows.
+MOST = np.float32(60)
+#: Words scored at once, and rows of one matrix product.
+BLOCK, TILE = 1 << 15, 1 << 10
 #: Pieces that parameters are averaged in, and copies summed by one task.
 PIECES, TOGETHER = 8, 64
+#: Logarithms of shares are summed as whole numbers of this, in any order.
+UNIT = 1e-9
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -53,24 +64,34 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, bounds - bounds[0]
 
 
+def word_key(word: str) -> int:
+    """What stands for a word that shares its number: 64 bits of its hash."""
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = pc.value_counts(split_words(batch.column(0))[0])
         yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())], names=["word", "n"])
+    release_memory()
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` of all words of all documents."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(text).cast("string")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> dict[str, int]:
+def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the most frequent words of all documents, by falling count
-    (ties: alphabetical), from 1."""
-    counts = word_counts(docs, text) if counts is None else counts
-    rows = counts.orderBy(F.desc("n"), "word").limit(SIZE - 1 - ENDINGS).collect()
-    return {r.word: i for i, r in enumerate(rows, start=1)}
+    (ties: alphabetical), from 1; and how often each number that isn't shared
+    occurs."""
+    # a written table, so that what each task offers meets in a task
+    most = stored(counts.orderBy(F.desc("n"), "word").limit(SIZE - 1 - ENDINGS), "vocabulary")
+    rows = sorted(most.collect(), key=lambda r: (-r.n, r.word))
+    drop(most)
+    often = np.zeros(SIZE)
+    often[1 : len(rows) + 1] = [r.n for r in rows]
+    return {r.word: i for i, r in enumerate(rows, start=1)}, often
 
 
 def word_number(word: str, numbers: dict[str, int]) -> int:
@@ -80,58 +101,65 @@ def word_number(word: str, numbers: dict[str, int]) -> int:
 
 def _encoded(numbers: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             words, bounds = split_words(batch.column(1))
+            flat, keys = np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64)
             if len(words):
                 coded = words.dictionary_encode()
-                table = np.fromiter((word_number(w, numbers) for w in coded.dictionary.to_pylist()), dtype="<u2")
-                flat = table[coded.indices.to_numpy(zero_copy_only=False)]
-            else:
-                flat = np.zeros(0, dtype="<u2")
-            data = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+                listed, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+                table = np.fromiter((word_number(w, numbers) for w in listed), dtype="<u2", count=len(listed))
+                named = np.fromiter((word_key(w) if t >= SIZE - ENDINGS else 0 for w, t in zip(listed, table.tolist())), dtype=np.int64, count=len(listed))
+                flat = table[at]
+                keys = named[at]
             sharing = flat >= SIZE - ENDINGS
             ends = np.concatenate([[0], np.cumsum(sharing)])[bounds]
-            shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.filter(pa.array(sharing)).cast(pa.string()))
+            data = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+            shared = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[sharing], pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), data, shared], names=["doc_id", "ids", "shared"])
+        release_memory()
 
     return run
 
 
-def shares(counts: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """``(word, share)``: of each word that shares its number, the logarithm of
-    its share of the number's occurrences."""
+def _rare(numbers: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(word_key(w), word_number(w, numbers), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in numbers]
+            columns = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], names=["word", "number", "n"])
+
+    return run
 
-    @F.arrow_udf("int")
-    def number(words: pa.Array) -> pa.Array:
-        return pa.array([word_number(w, numbers) for w in words.to_pylist()], pa.int32())
 
-    own = counts.withColumn("number", number("word")).where(F.col("number") >= SIZE - ENDINGS)
-    all_of = own.groupBy(F.col("number").alias("of")).agg(F.sum("n").alias("total"))
-    return own.join(all_of, F.col("number") == F.col("of")).select("word", F.expr("ln(n / total)").alias("share"))
+def rare_words(counts: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """``(word, number, n)`` of the words that share a number, by their keys."""
+    return counts.mapInArrow(_rare(numbers), "word long, number int, n long").groupBy("word", "number").agg(F.sum("n").alias("n"))
 
 
-def word_terms(ids: DataFrame, shares: DataFrame) -> DataFrame:
-    """``(term_row, term)``: the sum of the shares of each row's words."""
-    words = ids.select("row", F.explode("shared").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    # summed in one order, so that equal texts score the same
-    parts = words.join(shares, "word").groupBy("row").agg(F.sum(F.expr("cast(round(times * share, 9) as decimal(28,9))")).alias("term"))
-    return parts.select(F.col("row").alias("term_row"), F.col("term").cast("double").alias("term"))
+def word_terms(ids: DataFrame, rare: DataFrame, totals: dict[int, int]) -> DataFrame:
+    """``(term_row, term)``: of each row the sum, over its words that share a
+    number, of the logarithm of the word's share of the number's occurrences."""
+    total = F.create_map(*[F.lit(x) for number, n in totals.items() for x in (number, float(n))]) if totals else F.create_map(F.lit(0), F.lit(1.0))
+    share = F.round(F.log(F.col("n") / total[F.col("number")]) / UNIT).cast("long")
+    shares = rare.select(F.col("word").alias("of"), share.alias("share"))
+    words = ids.select(F.col("row").alias("term_row"), F.explode("shared").alias("word"))
+    parts = words.join(shares, F.col("word") == F.col("of")).groupBy("term_row").agg(F.sum("share").alias("term"))
+    return parts.select("term_row", (F.col("term") * UNIT).alias("term"))
 
 
 @dataclass
 class Network:
-    """Parameters, as views of one flat vector."""
+    """Parameters, as views of one flat vector.  The last hidden unit is the
+    constant 1, so that its weights are the biases of what comes after it."""
 
     flat: np.ndarray
 
     SHAPES = {
         "emb": (SIZE, DIMENSION),
-        "w1": (2 * SIDE, DIMENSION, HIDDEN),
+        "w1": (2 * SIDE * DIMENSION, HIDDEN),
         "b1": (HIDDEN,),
         "wc": (HIDDEN, CLASSES),
-        "bc": (CLASSES,),
         "ww": (CLASSES, HIDDEN, IN_CLASS),
-        "bw": (CLASSES, IN_CLASS),
     }
 
     def __post_init__(self):
@@ -146,17 +174,24 @@ class Network:
         return sum(int(np.prod(s)) for s in cls.SHAPES.values())
 
     @classmethod
-    def start(cls) -> Network:
+    def start(cls, often: np.ndarray | None = None) -> Network:
+        """Random weights; biases by how often each number occurs, if given."""
         out = cls(np.zeros(cls.size(), dtype=np.float32))
         random = np.random.default_rng(SEED)
         for name, scale in (("emb", 0.3), ("w1", 0.2), ("wc", 0.1), ("ww", 0.1)):
             part = getattr(out, name)
             part[...] = random.normal(0, scale, part.shape)
+        out.w1[:, -1], out.b1[-1], out.wc[-1], out.ww[:, -1] = 0, 1, 0, 0
+        if often is not None:
+            each = often.reshape(CLASSES, IN_CLASS) + 0.1
+            out.wc[-1] = np.log(each.sum(axis=1))
+            out.wc[-1] -= out.wc[-1].mean()
+            out.ww[:, -1] = np.log(each) - np.log(each).mean(axis=1, keepdims=True)
         return out
 
     def tables(self) -> np.ndarray:
         """What each number adds to the hidden layer at each place."""
-        return np.einsum("vd,jdh->jvh", self.emb, self.w1)
+        return np.stack([self.emb @ w for w in self.w1.reshape(2 * SIDE, DIMENSION, HIDDEN)])
 
 
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
@@ -165,118 +200,177 @@ OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents in a row with edges between: (numbers, places of the words,
     document of each word)."""
-    edge = np.zeros(SIDE, dtype=np.int64)
+    edge = np.zeros(SIDE, dtype=np.uint16)
     sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    row = np.concatenate([edge, *[y for x in ids for y in (x, edge)]]).astype(np.int64)
+    row = np.concatenate([edge, *[y for x in ids for y in (x, edge)]]).astype(np.uint16, copy=False)
     doc = np.repeat(np.arange(len(ids)), sizes)
     return row, np.arange(int(sizes.sum())) + SIDE * (doc + 1), doc
 
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    of = target // IN_CLASS
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(an order by class, the place of each class in it)."""
+    of = (target // IN_CLASS).astype(np.uint16)
     order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c] : ends[c + 1]]
+    ends = np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exponentials(x: np.ndarray) -> np.ndarray:
+    """Of what a softmax is fed, which is kept within :data:`MOST`."""
+    x = x.astype(np.float32, copy=False)
+    np.clip(x, -MOST, MOST, out=x)
+    return np.exp(x, out=x)
+
+
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    picked = np.clip(x[np.arange(len(at)), at], -MOST, MOST)
+    return picked - np.log(_exponentials(x).sum(axis=1, dtype=np.float64))
+
+
+def _misses(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What the softmax gives too much to each (and to the target too little)."""
+    x = _exponentials(x)
+    x *= 1 / x.sum(axis=1, keepdims=True)
+    x[np.arange(len(at)), at] -= 1
+    return x
 
 
 def log_probabilities(net: Network, row: np.ndarray, places: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
     """The log-probability of the word at each place, given its window."""
     tables = net.tables() if tables is None else tables
-    hidden = sum(tables[j][row[places + o]] for j, o in enumerate(OFFSETS)) + net.b1
+    order, classes = _by_class(row[places])
+    places = places[order]
+    target = row[places].astype(np.int64)
+    hidden = np.take(tables[0], row[places + OFFSETS[0]], axis=0)
+    for j, o in enumerate(OFFSETS[1:], start=1):
+        hidden += np.take(tables[j], row[places + o], axis=0)
+    hidden += net.b1
     np.maximum(hidden, 0, out=hidden)
-    target = row[places]
-    classes = _log_softmax(hidden @ net.wc + net.bc)
-    out = classes[np.arange(len(places)), target // IN_CLASS].astype(np.float64)
-    for c, own in _by_class(target):
-        words = _log_softmax(hidden[own] @ net.ww[c] + net.bw[c])
-        out[own] += words[np.arange(len(own)), target[own] % IN_CLASS]
+    found = np.empty(len(target))
+    for at in range(0, len(target), TILE):
+        tile = slice(at, at + TILE)
+        found[tile] = _log_softmax_at(hidden[tile] @ net.wc, target[tile] // IN_CLASS)
+    for c, own in classes:
+        found[own] += _log_softmax_at(hidden[own] @ net.ww[c], target[own] % IN_CLASS)
+    out = np.empty(len(target))
+    out[order] = found
     return out
 
 
-def train_step(net: Network, row: np.ndarray, places: np.ndarray, rate: float) -> None:
-    """One step of gradient descent on a batch of windows, in place."""
-    n, target = len(places), row[places]
-    window = np.stack([row[places + o] for o in OFFSETS])
-    inputs = net.emb[window]
-    hidden = np.einsum("jnd,jdh->nh", inputs, net.w1, optimize=True) + net.b1
-    on = hidden > 0
-    hidden *= on
-    share = np.exp(_log_softmax(hidden @ net.wc + net.bc))
-    share[np.arange(n), target // IN_CLASS] -= 1
-    back = share @ net.wc.T
-    step = rate / n
-    for c, own in _by_class(target):
-        mine = hidden[own]
-        miss = np.exp(_log_softmax(mine @ net.ww[c] + net.bw[c]))
-        miss[np.arange(len(own)), target[own] % IN_CLASS] -= 1
-        back[own] += miss @ net.ww[c].T
-        net.ww[c] -= step * (mine.T @ miss)
-        net.bw[c] -= step * miss.sum(axis=0)
-    net.wc -= step * (hidden.T @ share)
-    net.bc -= step * share.sum(axis=0)
-    back *= on
-    for j in range(2 * SIDE):
-        down = back @ net.w1[j].T
-        net.w1[j] -= step * (inputs[j].T @ back)
-        np.subtract.at(net.emb, window[j], step * down)
-    net.b1 -= step * back.sum(axis=0)
-
-
-def _ids(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column(column)]
+class Trainer:
+    """Adagrad on batches of windows, in place."""
+
+    def __init__(self, net: Network, rate: float = RATE):
+        self.net, self.rate = net, np.float32(rate)
+        self.past = Network(np.full(Network.size(), 1e-2, dtype=np.float32))
+        self.words = np.empty_like(net.ww)
+
+    def _down(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
+        gradient *= np.float32(1 / BATCH)
+        sums = getattr(self.past, name)[at] + gradient * gradient
+        getattr(self.past, name)[at] = sums
+        np.sqrt(sums, out=sums)
+        np.divide(gradient, sums, out=gradient)
+        gradient *= self.rate
+        getattr(self.net, name)[at] -= gradient
+
+    def step(self, row: np.ndarray, places: np.ndarray) -> None:
+        net, n = self.net, len(places)
+        # by target, so that a class is a slice
+        order, classes = _by_class(row[places])
+        places = places[order]
+        target = row[places].astype(np.int64)
+        window = row[places[:, None] + OFFSETS]
+        inputs = np.take(net.emb, window, axis=0).reshape(n, -1)
+        hidden = inputs @ net.w1
+        hidden += net.b1
+        np.maximum(hidden, 0, out=hidden)
+        back, of_classes = np.empty_like(hidden), np.zeros_like(net.wc)
+        for at in range(0, n, TILE):
+            tile = slice(at, at + TILE)
+            miss = _misses(hidden[tile] @ net.wc, target[tile] // IN_CLASS)
+            np.matmul(miss, net.wc.T, out=back[tile])
+            of_classes += hidden[tile].T @ miss
+        self.words[...] = 0
+        for c, own in classes:
+            miss = _misses(hidden[own] @ net.ww[c], target[own] % IN_CLASS)
+            back[own] += miss @ net.ww[c].T
+            np.matmul(hidden[own].T, miss, out=self.words[c])
+        back *= hidden > 0
+        back[:, -1] = 0
+        down = (back @ net.w1.T).reshape(-1, DIMENSION)
+        self._down("ww", self.words)
+        self._down("wc", of_classes)
+        self._down("w1", inputs.T @ back)
+        self._down("b1", back.sum(axis=0))
+        met = window.ravel()
+        by = np.argsort(met, kind="stable")
+        met = met[by]
+        starts = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
+        self._down("emb", np.add.reduceat(np.take(down, by, axis=0), starts, axis=0), met[starts])
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u2") for x in column]
 
 
 def _trained(start: bytes, turn: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, n = Network(np.frombuffer(start, dtype=np.float32).copy()), 0
-        for batch in batches:
-            row, places, _ = padded(_ids(batch, 0))
-            np.random.default_rng(SEED + turn).shuffle(places)
-            for at in range(0, len(places), BATCH):
-                part = places[at : at + BATCH]
-                train_step(net, row, part, RATE * len(part) / BATCH)
-            n += len(places)
-        if n:
-            parts = np.array_split(net.flat.astype(np.float64) * n, PIECES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PIECES), pa.int32()), pa.array([int(zlib.crc32(net.flat.tobytes()))] * PIECES, pa.int64()), pa.array([n] * PIECES, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["piece", "salt", "n", "total"],
-            )
+    def run(table: pa.Table) -> pa.Table:
+        net = Network(np.frombuffer(start, dtype=np.float32).copy())
+        # the same order in whatever order the rows come
+        ids = [np.frombuffer(x, dtype="<u2") for x in sorted(table.column("ids").to_pylist())]
+        row, places, _ = padded(ids)
+        np.random.default_rng(SEED + turn).shuffle(places)
+        trainer = Trainer(net)
+        for at in range(0, len(places), BATCH):
+            trainer.step(row, places[at : at + BATCH])
+        parts, shard = np.array_split(net.flat, PIECES), table.column("shard")[0].as_py()
+        columns = {
+            "piece": pa.array(range(PIECES), pa.int32()),
+            "shard": pa.array([shard] * PIECES, pa.int64()),
+            "n": pa.array([len(places)] * PIECES, pa.int64()),
+            "total": pa.array([p.tobytes() for p in parts], pa.binary()),
+        }
+        return pa.table(columns)
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    total = None
-    for x in table.column("total"):
-        part = np.frombuffer(x.as_buffer(), dtype=np.float64)
-        total = part.copy() if total is None else total + part
-    first = lambda c, k: pa.array([table.column(c)[0].as_py()], k)
-    n = pc.sum(table.column("n")).as_py()
-    return pa.table([first("piece", pa.int32()), first("salt", pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["piece", "salt", "n", "total"])
+def _averaged(table: pa.Table) -> pa.Table:
+    """The average of copies of one piece, weighed by their windows, in the
+    order of their shards."""
+    order, whole, n = np.argsort(table.column("shard").to_numpy()), None, 0
+    for at in order.tolist():
+        part, own = np.frombuffer(table.column("total")[at].as_py(), dtype=np.float32), table.column("n")[at].as_py()
+        n += own
+        whole = part.astype(np.float64) * own if whole is None else whole + part.astype(np.float64) * own
+    least = int(order[0])
+    columns = {
+        "piece": table.column("piece").slice(0, 1),
+        "shard": table.column("shard").slice(least, 1),
+        "n": pa.array([n], pa.int64()),
+        "total": pa.array([(whole / n).astype(np.float32).tobytes()], pa.binary()),
+    }
+    return pa.table(columns)
 
 
-def train(ids: DataFrame) -> Network:
-    """A network trained on column ``ids`` (numbers as bytes) of all rows."""
-    net, schema = Network.start(), "piece int, salt long, n long, total binary"
+def train(ids: DataFrame, words: int, often: np.ndarray | None = None) -> Network:
+    """A network trained on column ``ids`` (numbers as bytes) of all rows, of so
+    many words in all.  Rows are dealt to shards by column ``deal``."""
+    net, schema = Network.start(often), "piece int, shard long, n long, total binary"
+    shards = max(1, -(-words // SHARD_WORDS))
+    dealt = ids.where(F.octet_length("ids") > 0).select(F.pmod("deal", F.lit(shards)).alias("shard"), "ids")
     for turn in range(ROUNDS):
-        copies = stored(ids.select("ids").mapInArrow(_trained(net.flat.tobytes(), turn), schema), "copies")
-        groups = copies.count() // PIECES
-        sums = copies
-        while groups > TOGETHER:  # a tree of sums, so that no task gets all copies
+        copies = stored(dealt.groupBy("shard").applyInArrow(_trained(net.flat.tobytes(), turn), schema), "copies")
+        groups, sums = shards, copies
+        while groups > 1:  # a tree of averages, so that no task gets all copies
             groups = -(-groups // TOGETHER)
-            sums = sums.withColumn("salt", F.pmod(F.col("salt"), F.lit(groups))).groupBy("piece", "salt").applyInArrow(_summed, schema)
-        rows = sorted(sums.groupBy("piece").applyInArrow(_summed, schema).collect(), key=lambda r: r.piece)
+            grouped = sums.groupBy("piece", F.expr(f"shard div {TOGETHER}").alias("of")).applyInArrow(_averaged, schema)
+            sums = grouped.withColumn("shard", F.expr(f"shard div {TOGETHER}"))
+        rows = sorted(sums.collect(), key=lambda r: r.piece)
         drop(copies)
         if rows:
-            net = Network(np.concatenate([np.frombuffer(bytes(r.total), dtype=np.float64) / r.n for r in rows]).astype(np.float32))
+            net = Network(np.concatenate([np.frombuffer(bytes(r.total), dtype=np.float32) for r in rows]))
     return net
 
 
@@ -285,14 +379,15 @@ def _scored(params: bytes):
         # in doubles, so that a word's neighbours in a batch don't show in six decimals
         net = Network(np.frombuffer(params, dtype=np.float32).astype(np.float64))
         tables = net.tables()
-        for batch in batches:
-            ids = _ids(batch, 1)
+        for batch in slices(batches):
+            ids = _ids(batch.column(2))
             row, places, doc = padded(ids)
             total = np.zeros(len(ids))
             for at in range(0, len(places), BLOCK):
                 part = slice(at, at + BLOCK)
                 total += np.bincount(doc[part], weights=log_probabilities(net, row, places[part], tables), minlength=len(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(np.round(total, 6))], names=["row", "n_words", "number_term"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(total)], names=["doc_id", "row", "n_words", "number_term"])
+        release_memory()
 
     return run
 
@@ -301,18 +396,28 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``(doc_id, n_words, log_probability, mean_log_probability)`` per row.
 
     A text that is null, empty or blank has no words, log-probability 0 and a
-    null mean.  Equal texts score the same; a null id stays null; further
-    columns don't matter; an empty table gives an empty one.
+    null mean.  Equal texts score the same; a null id stays null; repeated rows
+    are scored each; further columns don't matter; an empty table gives an
+    empty one.  Scores don't depend on partitions or batches (rows without an id
+    are dealt to shards by their place, so that many of them can't meet in one;
+    they alone could).
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = stored(word_counts(docs), "word-counts")
-    numbers = vocabulary(docs, counts=counts)
+    words = counts.agg(F.sum("n")).first()[0] or 0
+    numbers, often = vocabulary(counts)
+    rare = stored(rare_words(counts, numbers), "rare-words")
+    totals = {r.number: r.n for r in rare.groupBy("number").agg(F.sum("n").alias("n")).collect()}
+    for number, n in totals.items():
+        often[number] = n
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = docs.mapInArrow(_encoded(numbers), f"doc_id {kind}, ids binary, shared array<string>")
-    ids = stored(coded.withColumn("row", F.monotonically_increasing_id()), "word-numbers")
-    net = train(ids)
-    terms = word_terms(ids, stored(shares(counts, numbers), "shares"))
-    scored = ids.select("row", "ids").mapInArrow(_scored(net.flat.tobytes()), "row long, n_words long, number_term double")
-    scored = ids.select("doc_id", F.col("row").alias("own")).join(scored, F.col("own") == F.col("row")).join(terms, F.col("own") == F.col("term_row"), "left")
-    out = scored.select("doc_id", "n_words", F.expr("round(number_term + coalesce(term, 0), 6)").alias("log_probability"))
+    coded = docs.mapInArrow(_encoded(numbers), f"doc_id {kind}, ids binary, shared array<long>").withColumn("row", F.monotonically_increasing_id())
+    deal = F.xxhash64("doc_id", "ids", F.when(F.col("doc_id").isNull(), F.col("row")))
+    ids = stored(coded.withColumn("deal", deal), "word-numbers")
+    net = train(ids, words, often)
+    terms = word_terms(ids, rare, totals)
+    scored = ids.select("doc_id", "row", "ids").mapInArrow(_scored(net.flat.tobytes()), f"doc_id {kind}, row long, n_words long, number_term double")
+    out = scored.join(terms, F.col("row") == F.col("term_row"), "left")
+    out = out.select("doc_id", "n_words", F.expr("round(number_term + coalesce(term, 0), 6)").alias("log_probability"))
+    drop(counts)
     return out.withColumn("mean_log_probability", F.expr("if(n_words = 0, null, log_probability / n_words)"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, release_memory, stored
+from querylens.llm.common import release_memory, stored
 from querylens.llm.tokens import grouped, tokenizer
 
 #: Tokens of a sequence, and the id after each document.
@@ -60,7 +60,6 @@ def _pieces(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids cut
     into pieces of at most ``capacity``."""
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return docs.mapInArrow(_pieces(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, drop, fresh, release_memory, stored
+from querylens.llm.common import drop, fresh, release_memory, stored
 from querylens.llm.components import connected_components
 
 #: Bits by which linked fingerprints may differ.
@@ -79,7 +79,6 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS, seed: int = SEED) -> DataFrame:
     """``docs`` with the fingerprint as 16 lower-case hex digits in column ``out``."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def simhash(texts: pa.Array) -> pa.Array:

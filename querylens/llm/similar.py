@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, drop, fresh, release_memory, stored
+from querylens.llm.common import drop, fresh, release_memory, slices, stored
 from querylens.llm.components import connected_components
 
 #: Words of a shingle; linked sets are at least NUMERATOR / DENOMINATOR alike.
@@ -89,7 +89,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _described(often: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py()) for t in batch.column(1)]
             columns = [
                 batch.column(0),
@@ -154,7 +154,6 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component_id is the smallest id that can be reached over similar nodes,
     null where none of them has one.
     """
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stored(docs.mapInArrow(_described(*common_shingles(docs)), f"doc_id {kind}, node long, size long, prefix array<long>, sketch binary"), "shingles")

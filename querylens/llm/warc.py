@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querylens.llm.common import bounded_batches, drop, new_path, stored
+from querylens.llm.common import drop, new_path, stored
 
 #: Payloads sampled (by hash of the id) to train the dictionary on, and bytes
 #: taken of each; this bounds what the driver reads.
@@ -157,7 +157,6 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     the smallest id of their payload, or are responses if there is none.
     """
     spark = pages.sparkSession
-    bounded_batches(spark, 500)
     body = F.coalesce(F.encode(F.col(payload).cast("string"), "utf-8"), F.expr("cast('' as binary)"))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
     sample = rows.select(F.substring("payload", 1, SAMPLE_BYTES).alias("s"), F.xxhash64("page_id", F.lit("warc")).alias("h")).orderBy("h").limit(SAMPLE_ROWS)
@@ -176,7 +175,6 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload)
     of each record under ``path``; a revisit's payload is null."""
-    bounded_batches(spark, 4)
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_reader, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 

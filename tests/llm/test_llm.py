@@ -229,40 +229,82 @@ def test_pivot_recall_on_the_table(spark):
 # op4
 
 
-def test_pseudo_likelihood_of_every_word_from_both_sides():
-    net = lm.Network.start()
-    net.flat += np.random.default_rng(1).normal(0, 0.3, net.flat.shape).astype(np.float32)
-    ids = [np.array([5, 900, 33, 64, 7]), np.array([], dtype=int), np.array([1023])]
-    row, places, doc = lm.padded(ids)
-    got = lm.log_probabilities(net, row, places)
+def brute_log_probabilities(net, ids):
+    """Of every word of number lists, one by one."""
     want = []
     for x in ids:
+        x = [int(n) for n in x]
         for i, target in enumerate(x):
             near = [x[k] if 0 <= k < len(x) else 0 for k in (i - 2, i - 1, i + 1, i + 2)]
-            hidden = np.maximum(sum(net.emb[w] @ net.w1[j] for j, w in enumerate(near)) + net.b1, 0)
-            c, w = divmod(int(target), lm.IN_CLASS)
-            one, two = hidden @ net.wc + net.bc, hidden @ net.ww[c] + net.bw[c]
+            hidden = np.maximum(np.concatenate([net.emb[w] for w in near]) @ net.w1 + net.b1, 0)
+            c, w = divmod(target, lm.IN_CLASS)
+            one, two = hidden @ net.wc, hidden @ net.ww[c]
             want.append(one[c] - np.log(np.exp(one).sum()) + two[w] - np.log(np.exp(two).sum()))
-    assert np.allclose(got, want, atol=1e-4) and doc.tolist() == [0] * 5 + [2]
+    return np.array(want)
 
 
-def test_gradients_lower_the_loss():
+def test_pseudo_likelihood_of_every_word_from_both_sides():
+    net = lm.Network.start()
+    net.flat += np.random.default_rng(1).normal(0, 0.1, net.flat.shape).astype(np.float32)
+    ids = [np.array([5, 900, 33, 64, 7]), np.array([], dtype=int), np.array([lm.SIZE - 1])]
+    row, places, doc = lm.padded(ids)
+    got = lm.log_probabilities(net, row, places)
+    assert np.allclose(got, brute_log_probabilities(net, ids), atol=1e-4) and doc.tolist() == [0] * 5 + [2]
+
+
+def test_a_network_is_a_distribution_over_all_numbers():
+    net = lm.Network.start(np.arange(lm.SIZE, dtype=float))
+    ids = [np.array([3, n, 4], dtype=np.uint16) for n in range(lm.SIZE)]
+    row, places, _ = lm.padded(ids)
+    middle = places.reshape(-1, 3)[:, 1]
+    assert np.isclose(np.exp(lm.log_probabilities(net, row, middle)).sum(), 1, atol=1e-4)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    row, places, _ = lm.padded([rng.integers(1, 400, 60)])
+    start = lm.Network.start().flat.astype(np.float64)
+    loss = lambda flat: -lm.log_probabilities(lm.Network(flat), row, places).sum()
+    seen = {}
+
+    class Recorder(lm.Trainer):
+        def _down(self, name, gradient, at=slice(None)):
+            part = np.zeros_like(getattr(self.net, name))
+            part[at] = gradient
+            seen[name] = part
+
+    Recorder(lm.Network(start.astype(np.float32))).step(row, places)
+    net = lm.Network(start)
+    for name, part in seen.items():
+        of = getattr(net, name)
+        for index in zip(*np.nonzero(part)) if np.count_nonzero(part) < 5 else [tuple(i) for i in rng.permutation(np.argwhere(part))[:5]]:
+            kept, sides = of[index], []
+            for step in (1e-3, -1e-3):
+                of[index] = kept + step
+                sides.append(loss(start))
+            of[index] = kept
+            assert np.isclose((sides[0] - sides[1]) / 2e-3, part[index], atol=2e-2, rtol=2e-2), (name, index)
+
+
+def test_steps_lower_the_loss():
     row, places, _ = lm.padded([np.array([70, 80, 90, 70, 80, 90] * 30)])
     net = lm.Network.start()
     before = lm.log_probabilities(net, row, places).mean()
+    trainer = lm.Trainer(net)
     for _ in range(60):
-        lm.train_step(net, row, places, 0.3)
+        trainer.step(row, places)
     assert lm.log_probabilities(net, row, places).mean() > before + 2
 
 
-def test_every_window_is_trained_on_in_each_round():
+def test_every_window_is_trained_on_in_each_round(monkeypatch):
     rng = np.random.default_rng(3)
-    ids = [rng.integers(1, lm.SIZE, n).astype("<u2") for n in (0, 1, 5, 700)]
-    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], names=["ids"])
+    ids = [rng.integers(1, lm.SIZE, n).astype("<u2") for n in (1, 5, 700, 20_000)]
+    met = []
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, row, places: met.extend(places.tolist()))
     for turn in range(lm.ROUNDS):
-        for cut in ([batch], [batch.slice(0, 3), batch.slice(3)]):  # however the rows are batched
-            got = [n for out in lm._trained(lm.Network.start().flat.tobytes(), turn)(iter(cut)) for n in out.column("n").to_pylist()]
-            assert set(got) == {706}
+        met.clear()
+        out = lm._trained(lm.Network.start().flat.tobytes(), turn)(pa.table({"shard": pa.array([0] * 4, pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())}))
+        assert set(out.column("n").to_pylist()) == {20_706} and len(met) == len(set(met)) == 20_706
 
 
 def test_every_word_has_its_own_prediction(spark):
@@ -282,6 +324,67 @@ def test_likely_documents_score_higher(spark, docs):
     assert np.mean([r.mean_log_probability for r in scored]) > -np.log(lm.SIZE)
 
 
+def test_shuffled_words_score_lower(spark):
+    rng = random.Random(5)
+    made = [" ".join(f"n{rng.randrange(6)} of{k} the{k} v{k}" for k in rng.choices(range(40), k=60)) for _ in range(600)]
+    rows = list(enumerate(made))
+    for i in range(100):
+        words = made[i].split()
+        rng.shuffle(words)
+        rows.append((10_000 + i, " ".join(words)))
+    got = {r.doc_id: r.mean_log_probability for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > got[10_000 + i] for i in range(100)) >= 95
+
+
+def brute_scores(rows, monkey):
+    """The whole operator on a list of (id, text), with no Spark in it."""
+    split = [(i, (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()) for i, t in rows]
+    counts = {}
+    for _, ws in split:
+        for w in ws:
+            counts[w] = counts.get(w, 0) + 1
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))[: lm.SIZE - 1 - lm.ENDINGS]
+    own = {w: k for k, w in enumerate(ranked, 1)}
+    number = lambda w: own.get(w) or lm.SIZE - lm.ENDINGS + zlib.crc32(w[-2:].encode()) % lm.ENDINGS
+    often = np.zeros(lm.SIZE)
+    for w, n in counts.items():
+        often[number(w)] += n
+    ids = {i: np.array([number(w) for w in ws], dtype="<u2") for i, ws in split}
+    net = lm.Network.start(often)
+    row, places, _ = lm.padded([np.frombuffer(x, dtype="<u2") for x in sorted(x.tobytes() for x in ids.values() if len(x))])
+    np.random.default_rng(lm.SEED).shuffle(places)
+    trainer = lm.Trainer(net)
+    for at in range(0, len(places), lm.BATCH):
+        trainer.step(row, places[at : at + lm.BATCH])
+    net = lm.Network(net.flat.astype(np.float64))
+    out = {}
+    for i, ws in split:
+        share = sum(np.log(counts[w] / often[number(w)]) for w in ws if w not in own)
+        out[i] = float(brute_log_probabilities(net, [ids[i]]).sum() + share)
+    return out
+
+
+def test_scores_equal_brute_force_on_any_layout(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if len(r.text or "") < 3000][:80]
+    rows += [(10_000 + i, f"rare{i} words{i % 3} here") for i in range(40)]
+    want = brute_scores(rows, None)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 8, 32):
+        got = {r.doc_id: r.log_probability for r in lm.score_documents(df.repartition(parts)).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 1e-4 + 1e-6 * abs(want[i]) for i in want)
+        first = got if parts == 1 else first
+        assert max(abs(got[i] - first[i]) for i in got) <= 2e-6
+
+
+def test_shards_are_averaged_by_their_windows(spark, monkeypatch):
+    rows = [(i, f"a b c d{i % 5} e") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "SHARD_WORDS", 20)
+    monkeypatch.setattr(lm, "TOGETHER", 4)
+    one, many = ({r.doc_id: r.log_probability for r in lm.score_documents(df.repartition(n)).collect()} for n in (1, 7))
+    assert one == many and len(one) == 400
+
+
 def test_scores_of_odd_rows(odd):
     got = lm.score_documents(odd).collect()
     assert len(got) == len(ODD)
