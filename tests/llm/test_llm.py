@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from querylens.llm import components, langid, lm, merkle, mixing, packing, pii, pivots, queries, simhash, tokens, urlfilter, warc
-from querylens.llm.common import fresh, table
+from querylens.llm.common import fresh, slices, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -818,3 +818,11 @@ def test_components_equal_union_find(spark):
 def test_private_names_dont_clash(spark):
     df = spark.range(1).selectExpr("id as A", "id as _a")
     assert fresh(df, "a", "b", "b") == ["__a", "b", "_b"]
+
+
+def test_sliced_batches_are_split_like_whole_ones():
+    texts = pa.array([f"É{i} zwei  drei\U0001f600 {'x' * (i % 7)}" for i in range(2500)])
+    whole, _ = lm.split_words(texts)
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [lm.split_words(b.column(0))[0].to_pylist() for b in slices([batch], 999)]
+    assert sum(parts, []) == whole.to_pylist() and len(parts) == 3 and list(slices([batch.slice(0, 0)])) == []
