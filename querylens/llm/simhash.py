@@ -68,13 +68,17 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return 0
-    n = max(1, len(found) - words + 1)
-    digest = xxhash.xxh64_intdigest
+    n, digest = max(1, len(found) - words + 1), xxhash.xxh64_intdigest
+    return majority(np.fromiter((digest(b" ".join(found[i : i + words]), seed) for i in range(n)), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of some 64-bit hashes; zero without any."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = np.array([digest(b" ".join(found[i : i + words]), seed) for i in range(at, min(at + BLOCK, n))], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -209,6 +213,30 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     return left.join(right.hint("merge"), close).select("a", "b", "part_a", "part_b")
 
 
+def _members(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of the rows (doc_id, h, fingerprint, fp) and of the fingerprints
+    (node_fp, component, least: the component's least row)."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = fingerprints(docs.withColumn("h", F.xxhash64("text")), "text").select("doc_id", "h", "fingerprint")
+    rows = stored(rows.withColumn("fp", F.expr("cast(conv(fingerprint, 16, -10) as long)")), "fingerprints")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "h"))
+    nodes = stored(rows.groupBy("fp").agg(own.alias("least")), "nodes")
+    close = stored(neighbours(nodes.select("fp")), "close")
+    parts = connected_components(close, "a", "b")
+    nodes_in = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "dense-nodes")
+    links = stored(near_fingerprints(nodes_in).select("part_a", "part_b").distinct(), "near")
+    joined = connected_components(links, "part_a", "part_b")
+    whole = nodes_in.join(joined, F.col("part") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "part").alias("component"))
+    whole = stored(whole, "whole")
+    # written first, so that a component of any size meets its least row evenly
+    least = stored(whole.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("least")), "least")
+    found = whole.select("fp", "component").join(least, F.col("component") == F.col("of")).select(F.col("fp").alias("node_fp"), "component", "least")
+    found = stored(found, "components")
+    for done in (nodes, close, parts, nodes_in, links, joined, whole, least):
+        drop(done)
+    return rows, found
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -221,38 +249,32 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     components all read null).  Other
     columns of ``docs`` don't matter; an empty table gives an empty one.
     """
-    fp = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fingerprint")
-    fp = stored(fp.withColumn("fp", F.expr("cast(conv(fingerprint, 16, -10) as long)")), "fingerprints")
-    nodes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    close = stored(neighbours(nodes.select("fp")), "close")
-    parts = connected_components(close, "a", "b")
-    nodes_in = stored(nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("part")), "dense-nodes")
-    links = stored(near_fingerprints(nodes_in).select("part_a", "part_b").distinct(), "near")
-    joined = connected_components(links, "part_a", "part_b")
-    whole = nodes_in.join(joined, F.col("part") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "part").alias("component"))
-    whole = stored(whole, "whole")
-    # written first, so that a component of any size meets its least id evenly
-    least = stored(whole.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("component_id")), "least")
-    ids = whole.join(least, F.col("component") == F.col("of")).select(F.col("fp").alias("node_fp"), "component_id")
-    ids = stored(ids, "components")
-    for done in (nodes, close, parts, nodes_in, links, joined, whole, least):
-        drop(done)
-    return fp.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fingerprint", "component_id")
+    rows, found = _members(docs, doc_id, text)
+    ids = found.select("node_fp", F.col("least.doc_id").alias("component_id"))
+    return rows.join(ids, F.col("fp") == F.col("node_fp")).select("doc_id", "fingerprint", "component_id")
+
+
+def rows_of(docs: DataFrame, keep: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that the table ``keep`` names by id and hash of the
+    text (``id``, ``h``), one of each."""
+    own, hashed, id_ = fresh(docs, "own_hash", "keep_hash", "keep_id")
+    named = keep.select(F.col("id").alias(id_), F.col("h").alias(hashed))
+    docs_in = docs.withColumn(own, F.xxhash64(F.col(text).cast("string")))
+    found = docs_in.join(named, F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hashed)), "left_semi")
+    return found.dropDuplicates([doc_id, own]).drop(own)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without all but one row of each component.
+    """``docs`` with one row of each component of near fingerprints.
 
-    The row with the component's smallest id stays (of rows that repeat that
-    id, the one with the least text hash).  In a component none of whose rows
-    has an id, one row of the least fingerprint stays.
+    It is that of the smallest id; of equal ids, the least hash of a text; of
+    rows that repeat both, any one.  A row without an id stays only if no row of
+    its component has one.  Columns stay as they are; an empty table gives an
+    empty one.
     """
-    row, fp = fresh(docs, "row_number", "fingerprint")
-    found = simhash_components(docs, doc_id, text).groupBy("component_id").agg(F.min("doc_id").alias("keep_id"), F.min("fingerprint").alias("keep_fp"))
-    keep = stored(found.select("keep_id", "keep_fp"), "kept")
-    named = docs.join(keep.where("keep_id is not null").select("keep_id"), F.col(doc_id) == F.col("keep_id"), "left_semi")
-    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(F.col(text)))
-    named = named.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).drop(row)
-    bare = fingerprints(docs.where(F.col(doc_id).isNull()), text, fp)
-    bare = bare.join(keep.where("keep_id is null").select("keep_fp"), F.col(fp) == F.col("keep_fp"), "left_semi")
-    return named.unionByName(bare.dropDuplicates([fp]).drop(fp))
+    rows, found = _members(docs, doc_id, text)
+    least = found.groupBy("component").agg(F.first("least").alias("least"))
+    keep = stored(least.select(F.col("least.doc_id").alias("id"), F.col("least.h").alias("h")), "kept")
+    drop(rows)
+    drop(found)
+    return rows_of(docs, keep, doc_id, text)

@@ -598,6 +598,12 @@ def test_simhash_of_odd_rows(odd):
     assert simhash.drop_near_duplicates(empty(odd)).collect() == []
 
 
+def test_a_row_of_each_component_stays(spark):
+    rows = [(2, "a b c d e f"), (5, "a b c d e f"), (5, "other words than those"), (5, "other words than those"), (None, "no id"), (None, "no id"), (None, "a b c d e f")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(2, "a b c d e f"), (5, "other words than those"), (None, "no id")], key=str)
+
+
 def test_golay_keys_find_all_near_words():
     rng = np.random.default_rng(2)
     words = rng.integers(0, 1 << 23, 500)

@@ -1,13 +1,16 @@
 """The corpus pipeline stage by stage, and as a whole against brute force."""
 
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from querylens.llm import langid, simhash
+from querylens.llm import langid, similar, simhash
 from querylens.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -36,9 +39,77 @@ def test_language_stage_drops_what_it_rejects(stages):
     assert len(kept) > 0.9 * len(told)
 
 
+def brute_kept(rows):
+    """(id, text) of the row that stays of each component, by all pairs of the
+    sets of five-word shingles."""
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_shingle = {}
+    for i, own in enumerate(sets):
+        for x in own or {None}:
+            by_shingle.setdefault(x, []).append(i)
+    for i, own in enumerate(sets):
+        for j in {j for x in own or {None} for j in by_shingle[x] if j < i}:
+            if 5 * len(own & sets[j]) >= 4 * len(own | sets[j]):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) if t is not None else 42
+    hashed = lambda t: signed(t) - (1 << 64) if signed(t) >> 63 else signed(t)
+    return sorted((rows[min(g, key=lambda i: (rows[i][0] is None, rows[i][0] or 0, hashed(rows[i][1])))] for g in groups.values()), key=str)
+
+
 def test_one_of_each_group_stays(stages):
-    found = simhash.simhash_components(stages["language_id"]).collect()
-    assert sorted(r.doc_id for r in stages["near_dedup"].collect()) == sorted({r.component_id for r in found})
+    rows = [(r.doc_id, r.text) for r in stages["language_id"].collect()]
+    assert sorted(((r.doc_id, r.text) for r in stages["near_dedup"].collect()), key=str) == brute_kept(rows)
+
+
+def test_repeated_and_missing_ids_lose_no_text(spark):
+    """What stays is a row, not an id: ids repeat over different texts, some are
+    null, some rows repeat whole."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(2, "one two three four five six seven"), (5, "one two three four five six seven"), (5, "a b c d e f g"), (5, "a b c d e f g")]
+    for _ in range(30):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 40, 200]))]
+        for _ in range(rng.choice([1, 3, 8])):
+            near = list(base)
+            for _ in range(rng.choice([0, 1, 4])):
+                near[rng.randrange(len(near))] = rng.choice(words)
+            rows.append((rng.choice([None, *range(12)]), " ".join(near)))
+    rows += [(None, None), (None, ""), (3, " "), (None, "only without an id here now"), (None, "only without an id here now")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("h", "node", "keep_id", "own_hash", "part", "row")})
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == brute_kept(rows)
+
+
+def test_components_of_similar_texts(spark):
+    rows = [(4, "a b c d e f g h i j k l"), (9, "a b c d e f g h i j k l"), (1, None), (3, "\t"), (None, "A b c d e f g h i j k L"), (None, "else")]
+    found = similar.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in found), key=str) == sorted([(4, 4), (9, 4), (1, 1), (3, 1), (None, 4), (None, None)], key=str)
+    assert similar.similar_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 300, 2000):
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        for gone in (0, 1, n // 20, n // 5):
+            b = np.unique(np.concatenate([a[gone:], rng.integers(-(2**62), 2**62, gone // 8)]))
+            assert similar.apart(similar.sketch(a), similar.sketch(b)) <= len(np.setxor1d(a, b))
 
 
 def test_masks_and_mix(stages):
