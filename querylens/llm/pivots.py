@@ -22,27 +22,39 @@ from querylens.llm.components import connected_components
 
 #: Least cosine of a link.
 COSINE = 0.98
-#: Vectors sampled (by hash of their id) to choose pivots from, and the most
-#: pivots chosen.  This bounds what the driver and each task hold.
-SAMPLE, PIVOTS = 2048, 256
+#: Vectors sampled (by their hash, expected number) to choose pivots from, and
+#: the pivots of a dimension.  This bounds what the driver and each task hold.
+SAMPLE, PIVOTS = 2048, 512
 #: Longs that hold a set of pivots.
 WORDS = PIVOTS // 64
 #: Nearest pivots that describe a vector, and pivots that a pair must share.
 NEAREST, SHARED = 8, 3
-#: A pivot closer than this to one already chosen adds nothing.
-PIVOT_COSINE = 0.6
+#: Pivots are farther apart than linked vectors can be (0.36 and 0.2, as
+#: the crow flies): closer ones would part them.
+PIVOT_COSINE = 0.935
+SEED = 3
 
 
-def choose_pivots(sample: list[list[float]]) -> dict[int, np.ndarray]:
-    """Unit pivots by dimension, far apart: greedily, in the sample's order."""
-    out: dict[int, list[np.ndarray]] = {}
-    for values in sample:
-        v = np.asarray(values, dtype=np.float64)
-        v = v / np.linalg.norm(v)
-        own = out.setdefault(len(v), [])
-        if len(own) < PIVOTS and all(abs(float(v @ p)) < PIVOT_COSINE for p in own):
-            own.append(v)
-    return {n: np.stack(own) for n, own in out.items()}
+def choose_pivots(dimension: int, sample: list[list[float]]) -> np.ndarray:
+    """:data:`PIVOTS` unit vectors.
+
+    From the sample each is the one that is farthest from those before it, so
+    that vectors which lie close together, as in a narrow cone, are told apart as
+    well.  Where the sample is too small or too narrow, random directions fill up.
+    """
+    out = []
+    if sample:
+        units = np.asarray(sample, dtype=np.float64)
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        at, nearest = 0, np.full(len(units), -np.inf)
+        while len(out) < PIVOTS and nearest[at] < PIVOT_COSINE:
+            out.append(units[at])
+            nearest = np.maximum(nearest, units @ units[at])
+            at = int(np.argmin(nearest))
+    if len(out) < PIVOTS:
+        more = np.random.default_rng(SEED).normal(size=(PIVOTS - len(out), dimension))
+        out += list(more / np.linalg.norm(more, axis=1, keepdims=True))
+    return np.stack(out)
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -60,9 +72,9 @@ def _described(pivots: dict[int, np.ndarray]):
             for i, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(i)
             for n, rows in by_size.items():
-                # a dimension without a sampled vector has one list for all
-                own = pivots.get(n, np.eye(1, n))
-                ranks = nearest_pivots(np.array([vectors[i] for i in rows], dtype=np.float64), own)
+                if n not in pivots:  # a dimension of which no vector was sampled
+                    pivots[n] = choose_pivots(n, [])
+                ranks = nearest_pivots(np.array([vectors[i] for i in rows], dtype=np.float64), pivots[n])
                 kind = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(list(ranks.astype(np.int32)), kind)], names=["node", "permutation"])
 
@@ -70,11 +82,8 @@ def _described(pivots: dict[int, np.ndarray]):
 
 
 def _lists() -> F.Column:
-    """All sets of :data:`SHARED` of the sorted nearest pivots, as one long each
-    (all pivots there are, if fewer)."""
-    sets = [F.expr(" | ".join(f"shiftleft(cast(get(near, {i}) as long), {20 * at})" for at, i in enumerate(c))) for c in combinations(range(NEAREST), SHARED)]
-    keys = F.filter(F.array(*sets), lambda k: k.isNotNull())
-    return F.when(F.size("near") < SHARED, F.array(F.lit(0).cast("long"))).otherwise(keys)
+    """All sets of :data:`SHARED` of the sorted nearest pivots, as one long each."""
+    return F.array(*[F.expr(" | ".join(f"shiftleft(cast(near[{i}] as long), {20 * at})" for at, i in enumerate(c))) for c in combinations(range(NEAREST), SHARED)])
 
 
 def _word(i: int) -> str:
@@ -90,12 +99,18 @@ def _mask(i: int) -> str:
 
 def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links ``(a, b, shared, cosine)``, a < b, as a written table, between the rows of ``nodes``:
-    (node, block, vector array<double>), no vector null, zero or non-finite.
+    (node, block, vector: an array of floats or doubles), no vector null, zero or
+    non-finite.
 
     Only rows with equal blocks and equally many dimensions are compared.
     """
-    sample = nodes.select("vector", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE).collect()
-    pivots = choose_pivots([r.vector for r in sample])
+    n = nodes.count()
+    hashed = F.xxhash64("vector", F.lit("pivots"))
+    chosen = nodes.where(F.pmod(hashed, F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)))
+    by_size: dict[int, list] = {}
+    for r in sorted(chosen.select(hashed.alias("h"), "vector").distinct().collect(), key=lambda r: (r.h, r.vector)):
+        by_size.setdefault(len(r.vector), []).append(r.vector)
+    pivots = {n: choose_pivots(n, sample) for n, sample in by_size.items()}
     told = nodes.select("node", "vector").mapInArrow(_described(pivots), "node long, permutation array<int>")
     sized = nodes.select(F.col("node").alias("id"), "block", F.size("vector").alias("n"))
     told = told.join(sized, F.col("node") == F.col("id")).withColumn("near", F.array_sort("permutation"))
@@ -107,12 +122,12 @@ def linked_pairs(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
     # a pair meets in every list it shares; only that of its first three pivots
     # admits it: up to the last of them it shares three
     upto = " + ".join(f"bit_count(w{i} & w{i}_b & {_mask(i)})" for i in range(WORDS))
-    met = f"block = block_b and n = n_b and list = list_b and a < b and (list = 0 or {upto} = {SHARED})"
+    met = f"block = block_b and n = n_b and list = list_b and a < b and {upto} = {SHARED}"
     shared = " + ".join(f"bit_count(w{i} & w{i}_b)" for i in range(WORDS))
     met = left.join(right.hint("merge"), F.expr(met)).select("a", "b", F.expr(shared).alias("shared"))
     vectors = nodes.select("node", "vector")
     pairs = met.join(vectors.withColumnsRenamed({"node": "a", "vector": "x"}), "a").join(vectors.withColumnsRenamed({"node": "b", "vector": "y"}), "b")
-    dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (s, t) -> s * t), 0d, (s, t) -> s + t)"
+    dot = lambda p, q: f"aggregate(zip_with({p}, {q}, (s, t) -> cast(s as double) * t), 0d, (s, t) -> s + t)"
     # one square root, so that a vector and its copies have cosine 1 exactly
     pairs = pairs.withColumn("cosine", F.expr(f"{dot('x', 'y')} / sqrt({dot('x', 'x')} * {dot('y', 'y')})"))
     out = stored(pairs.where(F.col("cosine") >= cosine).select("a", "b", "shared", "cosine"), "vector-links")
@@ -131,15 +146,17 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     that repeat an id count as rows; a row with a null id is counted as a link
     of others, gets the least id it reaches, and is not kept.
     """
-    double = F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("block"), double.alias("vector"))
+    kind = vectors.schema[embedding].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats stay as short as they are
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).alias("block"), F.col(embedding).cast(kind).alias("vector"))
     sound = "block is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < 1e150) and exists(vector, x -> abs(x) > 1e-150)"
     rows = rows.withColumn("sound", F.coalesce(F.expr(sound), F.lit(False)))
-    # a node's number: 0.0 and -0.0 are one
-    rows = rows.withColumn("vector", F.expr("if(sound, transform(vector, x -> x + 0d), null)"))
+    # 0.0 and -0.0 are one
+    zero = F.lit(0).cast(kind[6:-1])
+    rows = rows.withColumn("vector", F.when(F.col("sound"), F.transform("vector", lambda x: x + zero)))
     grouped = rows.where("sound").groupBy("block", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-    # the index must be unique per node, also where all ids of one are null
-    grouped = stored(grouped.withColumn("node", F.expr("xxhash64(block, vector)")), "vectors")
+    # a node's number is written once
+    grouped = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "vectors")
     links = linked_pairs(grouped.select("node", "block", "vector"), cosine)
     ends = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     sizes = grouped.select(F.col("node").alias("v"), F.col("n").alias("n_v"))
@@ -151,15 +168,16 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     linked = parts.join(least, F.col("component") == F.col("of")).select(F.col("node").alias("p_node"), "of_component")
     nodes = grouped.join(degree, F.col("node") == F.col("u"), "left").join(linked, F.col("node") == F.col("p_node"), "left")
     nodes = nodes.select(
-        F.col("node").alias("g_node"),
+        F.col("block").alias("g_block"),
+        F.col("vector").alias("g_vector"),
         (F.col("n") - 1 + F.coalesce("n_other", F.lit(0))).alias("g_links"),
         F.coalesce("of_component", "least").alias("g_component"),
     )
     nodes = stored(nodes, "vector-nodes")
     for done in (grouped, links, found, parts, least):
         drop(done)
-    rows = rows.select("vec_id", F.when(F.col("sound"), F.expr("xxhash64(block, vector)")).alias("r_node"))
-    out = rows.join(nodes, F.col("r_node") == F.col("g_node"), "left")
+    same = (F.xxhash64("vector") == F.xxhash64("g_vector")) & (F.col("block") == F.col("g_block")) & (F.col("vector") == F.col("g_vector"))
+    out = rows.join(nodes, same, "left")
     out = out.select("vec_id", F.coalesce("g_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("g_component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

@@ -76,8 +76,31 @@ ROWS = [(3, "http://a/", "é" * 50), (1, "http://b\r\nX: y", "é" * 50), (1, "u"
 
 @pytest.mark.parametrize("least", [0, 1, 1000])
 def test_archives_round_trip(spark, least):
-    got = warc.archive_round_trip(pages(spark, ROWS), min_bytes=least).collect()
-    assert sorted(map(tuple, got), key=str) == expected_records(ROWS, least)
+    clashing = pages(spark, ROWS).withColumns({c: F.lit(c) for c in ("payload", "key", "least", "kind", "h")})
+    for size in (1, warc.ARCHIVE_BYTES):
+        got = warc.archive_round_trip(clashing, min_bytes=least, archive_bytes=size).collect()
+        assert sorted(map(tuple, got), key=str) == expected_records(ROWS, least)
+
+
+def test_archives_roll_over_and_name_their_records(spark, tmp_path):
+    rows = [(i % 50 or None, f"http://h/{i}", f"payload {i % 70} " * 200) for i in range(300)]
+    warc.write_archives(pages(spark, rows).coalesce(2), str(tmp_path / "w"), archive_bytes=4000, date="2024-01-01T00:00:00Z")
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*.txt") if p.stat().st_size]
+    found = [list(warc.read_archive(data)) for data in files]
+    assert len(files) > 4 and all(len(data) < 40_000 for data in files)
+    assert all([h["WARC-Type"] == "warcinfo" for h, _ in records] == [True] + [False] * (len(records) - 1) for records in found)
+    heads = [h for records in found for h, _ in records]
+    assert len({h["WARC-Record-ID"] for h in heads}) == len(heads) == 300 + len(files)
+    urls = {u for _, u, _ in rows}
+    assert all(h["WARC-Refers-To-Target-URI"] in urls for h in heads if h["WARC-Type"] == "revisit")
+    assert warc.read_archives(spark, str(tmp_path / "w")).count() == 300
+
+
+def test_copies_without_ids_are_sampled_once(spark):
+    rows = [(None, None, "the same " * 50)] * 3000 + [(i, "u", f"other {i}") for i in range(3000)]
+    df = pages(spark, rows).selectExpr("page_id", "url", "cast(html as binary) payload")
+    found = warc.sampled_records(df, "2024-01-01T00:00:00Z")
+    assert 500 < len(found) < 1000 and sum(b"the same" in x for x in found) <= 1
 
 
 def test_archives_are_dictionary_compressed(spark, tmp_path):
@@ -89,7 +112,7 @@ def test_archives_are_dictionary_compressed(spark, tmp_path):
         size = int.from_bytes(data[4:8], "little")
         assert size > 1000
         reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size]))
-        one = data[8 + size :].removeprefix(warc.SEPARATOR.encode())  # a record is a frame of its own
+        one = data[8 + size :]  # a record is a frame of its own
         assert reader.decompressobj().decompress(one).startswith(b"WARC/1.1\r\nWARC-Type: ")
         total += len(data) - size
     own = [r.html.encode() for r in table(spark, "/root/testdata/sf0.01", "pages").collect()]
@@ -101,7 +124,10 @@ def test_archives_are_dictionary_compressed(spark, tmp_path):
 
 def test_archives_of_nothing(spark):
     assert warc.archive_round_trip(empty(pages(spark, ROWS))).collect() == []
-    assert warc.train_dictionary([]) == b""
+    few = warc.train_dictionary([b"a few bytes"])
+    assert few.startswith(b"a few bytes") and warc.train_dictionary([]).startswith(b"WARC/1.1")
+    data = warc.dictionary_frame(few) + warc._compressor(few).compress(warc.info_record("urn:x", "2024-01-01T00:00:00Z"))
+    assert [h["WARC-Type"] for h, _ in warc.read_archive(data)] == ["warcinfo"]
     with pytest.raises(ValueError):
         list(warc.read_archive(b"not an archive"))
 
@@ -216,14 +242,57 @@ def test_few_pivots(spark, axes):
 
 
 def test_pivot_recall_on_the_table(spark):
-    df = table(spark, "/root/testdata/check_s", "embeddings").where("label in (1, 2)")
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in df.collect()]
-    found = 0
-    for label in (1, 2):
-        m = np.array([v for _, v, x in rows if x == label], dtype=float)
+    """Every label of a driver's table, and the same with near copies planted."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings").select("vec_id", "embedding", "label")
+    rng = np.random.default_rng(7)
+    rows = [(r.vec_id, r.embedding, r.label) for r in df.collect() if r.embedding]
+    planted = []
+    for k, (_, v, label) in enumerate(rows[:600]):
+        v = np.array([x or 0.0 for x in v])
+        near = v / np.linalg.norm(v) + rng.normal(size=len(v)) * rng.choice([0.05, 0.15, 0.19]) / np.sqrt(len(v))
+        planted.append((1_000_000 + k, [float(np.float32(x)) for x in near], label))
+    both = df.unionAll(spark.createDataFrame(planted, "vec_id long, embedding array<float>, label int"))
+    got = {r.vec_id: r for r in pivots.near_vectors(both).collect()}
+    want = brute_matrix(rows + planted)
+    assert sum(want.values()) > 800 and len(got) == both.count()
+    assert sum(got[i].n_links for i in want) >= 0.999 * sum(want.values())
+    assert all(got[i].n_links <= n for i, n in want.items())
+
+
+def brute_matrix(rows, least=0.98):
+    """Links of each (id, vector, label), by the matrix of all cosines."""
+    out = {}
+    for label in {x for _, _, x in rows if x is not None}:
+        own = [(i, v) for i, v, x in rows if x == label and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+        m = np.array([v for _, v in own], dtype=float)
         m /= np.linalg.norm(m, axis=1, keepdims=True)
-        found += int((m @ m.T >= 0.98).sum() - len(m))
-    assert sum(r.n_links for r in pivots.near_vectors(df).collect()) >= 0.999 * found
+        out |= dict(zip((i for i, _ in own), ((m @ m.T >= least).sum(axis=1) - 1).tolist()))
+    return out
+
+
+def test_a_cone_is_told_apart(spark):
+    """Vectors of a common direction: few pairs are compared, few links lost."""
+    rng = np.random.default_rng(3)
+    cone = np.concatenate([[1.0], np.zeros(31)]) + rng.normal(size=(9000, 32)) * 0.3 / np.sqrt(32)
+    near = cone[:1000] + rng.normal(size=(1000, 32)) * 0.08 / np.sqrt(32)
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(np.concatenate([cone, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    nodes = df.selectExpr("vec_id as node", "label as block", "embedding as vector")
+    want = brute_matrix(rows)
+    got = sum(r.n_links for r in pivots.near_vectors(df).collect())
+    assert 0.9 * sum(want.values()) <= got <= sum(want.values()) and sum(want.values()) >= 2000
+    ranks = pivots.nearest_pivots(np.array([v for _, v, _ in rows]), pivots.choose_pivots(32, [v for _, v, _ in rows[::5]]))
+    sets = np.zeros((len(rows), pivots.PIVOTS), dtype=np.float32)
+    sets[np.arange(len(rows))[:, None], ranks] = 1
+    met = sum(int((sets[i : i + 1000] @ sets.T >= pivots.SHARED).sum()) for i in range(0, len(rows), 1000))
+    assert met < 0.05 * len(rows) ** 2 and nodes.count() == len(rows)
+
+
+def test_dimensions_without_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "SAMPLE", 0)
+    rows = [(i, [1.0, 2.0, 3.0 + (i % 2) * 0.01, float(i // 2)], 0) for i in range(40)] + [(100 + i, [1.0, 5.0], 0) for i in range(3)]
+    got = pivots.near_vectors(vectors(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute_links(rows))
 
 
 # op4
@@ -237,9 +306,10 @@ def brute_log_probabilities(net, ids):
         for i, target in enumerate(x):
             near = [x[k] if 0 <= k < len(x) else 0 for k in (i - 2, i - 1, i + 1, i + 2)]
             hidden = np.maximum(np.concatenate([net.emb[w] for w in near]) @ net.w1 + net.b1, 0)
-            c, w = divmod(target, lm.IN_CLASS)
-            one, two = hidden @ net.wc, hidden @ net.ww[c]
-            want.append(one[c] - np.log(np.exp(one).sum()) + two[w] - np.log(np.exp(two).sum()))
+            below = lm.STEPS[1] * lm.STEPS[2]
+            chosen = ((net.step0[0], target // below), (net.step1[target // below], target // lm.STEPS[2] % lm.STEPS[1]), (net.step2[target // lm.STEPS[2]], target % lm.STEPS[2]))
+            fed = [(hidden @ w, k) for w, k in chosen]
+            want.append(sum(x[k] - np.log(np.exp(x).sum()) for x, k in fed))
     return np.array(want)
 
 
@@ -283,7 +353,7 @@ def test_gradients_are_those_of_the_loss():
                 of[index] = kept + step
                 sides.append(loss(start))
             of[index] = kept
-            assert np.isclose((sides[0] - sides[1]) / 2e-3, part[index], atol=2e-2, rtol=2e-2), (name, index)
+            assert np.isclose((sides[0] - sides[1]) / 2e-3, part[index], atol=6e-2, rtol=5e-2), (name, index)
 
 
 def test_steps_lower_the_loss():
