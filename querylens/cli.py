@@ -13,6 +13,7 @@ from querylens import config as settings
 from querylens.functions.text import register_sql_functions
 from querylens.ingest import Ingester, ParseResult
 from querylens.operators.maintenance import file_stats, stats
+from querylens.plans import guard
 from querylens.sources.store import Store, StoreUnavailable
 
 VERSION = "0.1.0"
@@ -76,9 +77,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         elif args.command == "query":
             store.create_views()
             register_sql_functions(spark)
-            df = spark.sql(args.sql)
-            rows = df.collect()
-            print(f"\nColumns: {df.columns}", f"Rows ({len(rows)}):", *(f"  {i}: {list(r)}" for i, r in enumerate(rows, 1)), sep="\n")
+            found = guard.execute(spark, args.sql, guard.MOST_TIMEOUT_MS)
+            print(f"\nColumns: {found.columns}", f"Rows ({len(found.rows)}{', cut' if found.truncated else ''}):", *(f"  {i}: {list(r)}" for i, r in enumerate(found.rows, 1)), sep="\n")
         else:
             from querylens.api import Service, serve
 
@@ -89,7 +89,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
             server = serve(Service(store, chosen.api_key, auth=not args.no_auth), chosen.host, chosen.port)
             print(f"listening on {chosen.host}:{server.server_port}")
             server.serve_forever()
-    except (FileNotFoundError, StoreUnavailable) as error:
+    except (FileNotFoundError, StoreUnavailable, guard.UnsafeQuery, guard.QueryTimeout) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
     return 0

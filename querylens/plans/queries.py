@@ -427,9 +427,16 @@ def ranked_statements(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("s"), "sanitized_sql")).cast("long")).select("sanitized_sql", "place")
 
 
+def _registered() -> None:
+    """The queries of the other modules register when these are imported."""
+    from querylens.plans import parsing  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_oracles)
