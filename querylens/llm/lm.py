@@ -7,9 +7,9 @@ the sum of the log-probabilities of all words of a document is its score.
 A word that shares its number has, besides, its share of all occurrences of that
 number in the corpus: the counts of all words are a table that grows with it.
 
-The network: embeddings of the window, one hidden layer, and a softmax in two
-steps (a class of words, the word in its class) whose biases start at the
-corpus' frequencies.  Documents are dealt by hash into shards of about as many
+The network: embeddings of the window, one hidden layer, and a softmax in three
+steps (a class of words, a subclass, the word) whose biases start at the corpus'
+frequencies.  Documents are dealt by hash into shards of about as many
 words each, so that neither the layout of the table nor the cluster shows in a
 score.  In each round a copy is trained on every window of every document of
 each shard, and the copies are averaged with their numbers of windows.
@@ -30,10 +30,11 @@ from pyspark.sql import functions as F
 
 from querylens.llm.common import drop, release_memory, slices, stored
 
-#: Classes, and numbers in each class; the numbers of shared endings are the
-#: last of them, and number 0 stands beyond a document's edges.
-CLASSES, IN_CLASS, ENDINGS = 128, 128, 511
-SIZE = CLASSES * IN_CLASS
+#: The softmax goes in steps: so many classes, subclasses of each and numbers of
+#: each of those.  The numbers of shared endings are the last ones, and number 0
+#: stands beyond a document's edges.
+STEPS, ENDINGS = (16, 16, 64), 511
+SIZE = STEPS[0] * STEPS[1] * STEPS[2]
 #: Words on each side, numbers of an embedding, hidden units.
 SIDE, DIMENSION, HIDDEN = 2, 16, 32
 #: Windows of a step of descent, and its rate (Adagrad).
@@ -43,8 +44,8 @@ SHARD_WORDS = 2_000_000
 #: What the softmaxes are fed lies between this and its negative, so that no
 #: exponential overflows.
 MOST = np.float32(60)
-#: Words scored at once, and rows of one matrix product.
-BLOCK, TILE = 1 << 15, 1 << 10
+#: Words scored at once.
+BLOCK = 1 << 14
 #: Pieces that parameters are averaged in, and copies summed by one task.
 PIECES, TOGETHER = 8, 64
 #: Logarithms of shares are summed as whole numbers of this, in any order.
@@ -64,13 +65,8 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, bounds - bounds[0]
 
 
-def word_key(word: str) -> int:
-    """What stands for a word that shares its number: 64 bits of its hash."""
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in batches:
         found = pc.value_counts(split_words(batch.column(0))[0])
         yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts").cast(pa.int64())], names=["word", "n"])
     release_memory()
@@ -81,36 +77,63 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the most frequent words of all documents, by falling count
-    (ties: alphabetical), from 1; and how often each number that isn't shared
-    occurs."""
-    # a written table, so that what each task offers meets in a task
-    most = stored(counts.orderBy(F.desc("n"), "word").limit(SIZE - 1 - ENDINGS), "vocabulary")
+def vocabulary(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words of all documents, by falling count (ties:
+    alphabetical), which have the numbers from 1 on; and how often each number
+    that isn't shared occurs."""
+    wanted = SIZE - 1 - ENDINGS
+    # the power of two that enough words are above, so that few rows are sorted
+    least, above = 1, 0
+    for r in sorted(counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), reverse=True):
+        above += r["count"]
+        if above >= wanted:
+            least = 1 << r.power
+            break
+    most = stored(counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(wanted), "vocabulary")
     rows = sorted(most.collect(), key=lambda r: (-r.n, r.word))
     drop(most)
     often = np.zeros(SIZE)
     often[1 : len(rows) + 1] = [r.n for r in rows]
-    return {r.word: i for i, r in enumerate(rows, start=1)}, often
+    return [r.word for r in rows], often
+
+
+def ending_number(ending: str) -> int:
+    """The number that words with the same last two characters share."""
+    return SIZE - ENDINGS + zlib.crc32(ending.encode("utf-8", "replace")) % ENDINGS
+
+
+class Numbering:
+    """Numbers of words, and what stands for a word that shares its number: 64
+    bits of its hash."""
 
+    def __init__(self, vocabulary: list[str]):
+        self.own = pa.array(vocabulary, pa.large_string())
 
-def word_number(word: str, numbers: dict[str, int]) -> int:
-    own = numbers.get(word)
-    return own if own is not None else SIZE - ENDINGS + zlib.crc32(word[-2:].encode("utf-8", "replace")) % ENDINGS
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number, key or 0) of each of some distinct words."""
+        words = words.cast(pa.large_string())
+        found = pc.index_in(words, value_set=self.own)
+        numbers = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        keys = np.zeros(len(words), dtype=np.int64)
+        if found.null_count:
+            rare = words.filter(found.is_null())
+            ends = pc.utf8_slice_codeunits(rare, -2).dictionary_encode()
+            shared = np.array([ending_number(e) for e in ends.dictionary.to_pylist()])
+            numbers[numbers == 0] = shared[ends.indices.to_numpy(zero_copy_only=False)]
+            raw = rare.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+            keys[numbers >= SIZE - ENDINGS] = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), dtype=np.uint64, count=len(raw)).view(np.int64)
+        return numbers, keys
 
 
-def _encoded(numbers: dict[str, int]):
+def _encoded(vocabulary: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        numbering = Numbering(vocabulary)
+        for batch in batches:
             words, bounds = split_words(batch.column(1))
-            flat, keys = np.zeros(0, dtype="<u2"), np.zeros(0, dtype=np.int64)
-            if len(words):
-                coded = words.dictionary_encode()
-                listed, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-                table = np.fromiter((word_number(w, numbers) for w in listed), dtype="<u2", count=len(listed))
-                named = np.fromiter((word_key(w) if t >= SIZE - ENDINGS else 0 for w, t in zip(listed, table.tolist())), dtype=np.int64, count=len(listed))
-                flat = table[at]
-                keys = named[at]
+            coded = words.dictionary_encode()
+            numbers, keys = numbering(coded.dictionary)
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            flat, keys = numbers.astype("<u2")[at], keys[at]
             sharing = flat >= SIZE - ENDINGS
             ends = np.concatenate([[0], np.cumsum(sharing)])[bounds]
             data = pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
@@ -121,19 +144,20 @@ def _encoded(numbers: dict[str, int]):
     return run
 
 
-def _rare(numbers: dict[str, int]):
+def _rare(vocabulary: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbering = Numbering(vocabulary)
         for batch in batches:
-            rows = [(word_key(w), word_number(w, numbers), n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in numbers]
-            columns = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64()))], names=["word", "number", "n"])
+            numbers, keys = numbering(batch.column(0))
+            found = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(numbers, pa.int32()), batch.column(1)], names=["word", "number", "n"])
+            yield found.filter(pa.array(numbers >= SIZE - ENDINGS))
 
     return run
 
 
-def rare_words(counts: DataFrame, numbers: dict[str, int]) -> DataFrame:
+def rare_words(counts: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``(word, number, n)`` of the words that share a number, by their keys."""
-    return counts.mapInArrow(_rare(numbers), "word long, number int, n long").groupBy("word", "number").agg(F.sum("n").alias("n"))
+    return counts.mapInArrow(_rare(vocabulary), "word long, number int, n long").groupBy("word", "number").agg(F.sum("n").alias("n"))
 
 
 def word_terms(ids: DataFrame, rare: DataFrame, totals: dict[int, int]) -> DataFrame:
@@ -158,8 +182,9 @@ class Network:
         "emb": (SIZE, DIMENSION),
         "w1": (2 * SIDE * DIMENSION, HIDDEN),
         "b1": (HIDDEN,),
-        "wc": (HIDDEN, CLASSES),
-        "ww": (CLASSES, HIDDEN, IN_CLASS),
+        "step0": (1, HIDDEN, STEPS[0]),
+        "step1": (STEPS[0], HIDDEN, STEPS[1]),
+        "step2": (STEPS[0] * STEPS[1], HIDDEN, STEPS[2]),
     }
 
     def __post_init__(self):
@@ -178,15 +203,15 @@ class Network:
         """Random weights; biases by how often each number occurs, if given."""
         out = cls(np.zeros(cls.size(), dtype=np.float32))
         random = np.random.default_rng(SEED)
-        for name, scale in (("emb", 0.3), ("w1", 0.2), ("wc", 0.1), ("ww", 0.1)):
+        for name, scale in (("emb", 0.3), ("w1", 0.2), ("step0", 0.1), ("step1", 0.1), ("step2", 0.1)):
             part = getattr(out, name)
             part[...] = random.normal(0, scale, part.shape)
-        out.w1[:, -1], out.b1[-1], out.wc[-1], out.ww[:, -1] = 0, 1, 0, 0
-        if often is not None:
-            each = often.reshape(CLASSES, IN_CLASS) + 0.1
-            out.wc[-1] = np.log(each.sum(axis=1))
-            out.wc[-1] -= out.wc[-1].mean()
-            out.ww[:, -1] = np.log(each) - np.log(each).mean(axis=1, keepdims=True)
+        out.w1[:, -1], out.b1[-1] = 0, 1
+        each = np.ones(SIZE) if often is None else often + 0.1
+        for k in reversed(range(len(STEPS))):
+            logs = np.log(each.reshape(-1, STEPS[k]))
+            getattr(out, f"step{k}")[:, -1] = logs - logs.mean(axis=1, keepdims=True)
+            each = each.reshape(-1, STEPS[k]).sum(axis=1)
         return out
 
     def tables(self) -> np.ndarray:
@@ -207,12 +232,16 @@ def padded(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, np.arange(int(sizes.sum())) + SIDE * (doc + 1), doc
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """(an order by class, the place of each class in it)."""
-    of = (target // IN_CLASS).astype(np.uint16)
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(CLASSES + 1)).tolist()
-    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+def _groups(target: np.ndarray) -> list[tuple[str, np.ndarray, list[tuple[int, slice]]]]:
+    """For each step of sorted targets: (its parameters, the choice of each, the
+    groups that choose alike and their places)."""
+    out, below = [], SIZE
+    for k, n in enumerate(STEPS):
+        group, below = target // below, below // n
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        ends = [*starts[1:].tolist(), len(group)]
+        out.append((f"step{k}", target // below % n, [(g, slice(a, b)) for g, a, b in zip(group[starts].tolist(), starts.tolist(), ends)]))
+    return out
 
 
 def _exponentials(x: np.ndarray) -> np.ndarray:
@@ -222,23 +251,21 @@ def _exponentials(x: np.ndarray) -> np.ndarray:
     return np.exp(x, out=x)
 
 
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    picked = np.clip(x[np.arange(len(at)), at], -MOST, MOST)
-    return picked - np.log(_exponentials(x).sum(axis=1, dtype=np.float64))
-
-
-def _misses(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """What the softmax gives too much to each (and to the target too little)."""
-    x = _exponentials(x)
-    x *= 1 / x.sum(axis=1, keepdims=True)
-    x[np.arange(len(at)), at] -= 1
-    return x
+def _fed(net: Network, name: str, hidden: np.ndarray, groups: list[tuple[int, slice]]) -> np.ndarray:
+    """What the softmax of a step is fed."""
+    weights = getattr(net, name)
+    out = np.empty((len(hidden), weights.shape[2]), dtype=hidden.dtype)
+    for g, own in groups:
+        np.dot(hidden[own], weights[g], out=out[own])
+    return out
 
 
 def log_probabilities(net: Network, row: np.ndarray, places: np.ndarray, tables: np.ndarray | None = None) -> np.ndarray:
     """The log-probability of the word at each place, given its window."""
+    if not len(places):
+        return np.zeros(0)
     tables = net.tables() if tables is None else tables
-    order, classes = _by_class(row[places])
+    order = np.argsort(row[places], kind="stable")
     places = places[order]
     target = row[places].astype(np.int64)
     hidden = np.take(tables[0], row[places + OFFSETS[0]], axis=0)
@@ -246,12 +273,10 @@ def log_probabilities(net: Network, row: np.ndarray, places: np.ndarray, tables:
         hidden += np.take(tables[j], row[places + o], axis=0)
     hidden += net.b1
     np.maximum(hidden, 0, out=hidden)
-    found = np.empty(len(target))
-    for at in range(0, len(target), TILE):
-        tile = slice(at, at + TILE)
-        found[tile] = _log_softmax_at(hidden[tile] @ net.wc, target[tile] // IN_CLASS)
-    for c, own in classes:
-        found[own] += _log_softmax_at(hidden[own] @ net.ww[c], target[own] % IN_CLASS)
+    found = np.zeros(len(target))
+    for name, choice, groups in _groups(target):
+        fed = _fed(net, name, hidden, groups)
+        found += np.clip(fed[np.arange(len(target)), choice], -MOST, MOST) - np.log(_exponentials(fed).sum(axis=1, dtype=np.float64))
     out = np.empty(len(target))
     out[order] = found
     return out
@@ -263,7 +288,7 @@ class Trainer:
     def __init__(self, net: Network, rate: float = RATE):
         self.net, self.rate = net, np.float32(rate)
         self.past = Network(np.full(Network.size(), 1e-2, dtype=np.float32))
-        self.words = np.empty_like(net.ww)
+        self.gradients = Network(np.zeros(Network.size(), dtype=np.float32))
 
     def _down(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
         gradient *= np.float32(1 / BATCH)
@@ -276,31 +301,30 @@ class Trainer:
 
     def step(self, row: np.ndarray, places: np.ndarray) -> None:
         net, n = self.net, len(places)
-        # by target, so that a class is a slice
-        order, classes = _by_class(row[places])
-        places = places[order]
+        # by target, so that what chooses alike is a slice
+        places = places[np.argsort(row[places], kind="stable")]
         target = row[places].astype(np.int64)
         window = row[places[:, None] + OFFSETS]
         inputs = np.take(net.emb, window, axis=0).reshape(n, -1)
         hidden = inputs @ net.w1
         hidden += net.b1
         np.maximum(hidden, 0, out=hidden)
-        back, of_classes = np.empty_like(hidden), np.zeros_like(net.wc)
-        for at in range(0, n, TILE):
-            tile = slice(at, at + TILE)
-            miss = _misses(hidden[tile] @ net.wc, target[tile] // IN_CLASS)
-            np.matmul(miss, net.wc.T, out=back[tile])
-            of_classes += hidden[tile].T @ miss
-        self.words[...] = 0
-        for c, own in classes:
-            miss = _misses(hidden[own] @ net.ww[c], target[own] % IN_CLASS)
-            back[own] += miss @ net.ww[c].T
-            np.matmul(hidden[own].T, miss, out=self.words[c])
+        back, part = np.zeros_like(hidden), np.empty_like(hidden)
+        for name, choice, groups in _groups(target):
+            # what the softmax gives too much to each, and to the target too little
+            miss = _exponentials(_fed(net, name, hidden, groups))
+            miss *= 1 / miss.sum(axis=1, keepdims=True)
+            miss[np.arange(n), choice] -= 1
+            weights, gradient = getattr(net, name), getattr(self.gradients, name)
+            gradient[...] = 0
+            for g, own in groups:
+                np.dot(miss[own], weights[g].T, out=part[own])
+                np.dot(hidden[own].T, miss[own], out=gradient[g])
+            back += part
+            self._down(name, gradient)
         back *= hidden > 0
         back[:, -1] = 0
         down = (back @ net.w1.T).reshape(-1, DIMENSION)
-        self._down("ww", self.words)
-        self._down("wc", of_classes)
         self._down("w1", inputs.T @ back)
         self._down("b1", back.sum(axis=0))
         met = window.ravel()
@@ -405,13 +429,13 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     counts = stored(word_counts(docs), "word-counts")
     words = counts.agg(F.sum("n")).first()[0] or 0
-    numbers, often = vocabulary(counts)
-    rare = stored(rare_words(counts, numbers), "rare-words")
+    own, often = vocabulary(counts)
+    rare = stored(rare_words(counts, own), "rare-words")
     totals = {r.number: r.n for r in rare.groupBy("number").agg(F.sum("n").alias("n")).collect()}
     for number, n in totals.items():
         often[number] = n
     kind = docs.schema["doc_id"].dataType.simpleString()
-    coded = docs.mapInArrow(_encoded(numbers), f"doc_id {kind}, ids binary, shared array<long>").withColumn("row", F.monotonically_increasing_id())
+    coded = docs.mapInArrow(_encoded(own), f"doc_id {kind}, ids binary, shared array<long>").withColumn("row", F.monotonically_increasing_id())
     deal = F.xxhash64("doc_id", "ids", F.when(F.col("doc_id").isNull(), F.col("row")))
     ids = stored(coded.withColumn("deal", deal), "word-numbers")
     net = train(ids, words, often)
