@@ -1,7 +1,7 @@
 """Personal data in texts, by DataFrame functions alone.
 
 Regular expressions propose spans, validators (Luhn, mod-97, ranges, digit
-counts) confirm them, and context words just before a span raise its score.
+counts) confirm them, and context words on either side raise a span's score.
 The patterns are the given ones with possessive loops and explicit starts, so
 that they match the same spans but take linear time and constant stack.
 
@@ -24,15 +24,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])",
 }
 #: Kinds whose confirmed matches always stay.
 BASE = ("email", "ip", "card", "phone")
 #: Hundredths: what a confirmed match scores, and what a context word adds.
-SCORES = {"email": 90, "ip": 60, "card": 85, "phone": 60, "iban": 75, "ssn": 30}
+SCORES = {"email": 90, "ip": 60, "card": 85, "phone": 60, "iban": 75, "ssn": 30, "secret": 30}
 CONTEXT_SCORE = 25
 #: Least score of the kinds that the method adds.
 LEAST = 50
-#: Characters before a span that are searched for context words.
+#: Characters before a span, and after it, that are searched for context words.
 NEARBY = 40
 CONTEXT = {
     "email": "mail|contact|write",
@@ -41,34 +42,35 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|konto|cuenta|compte",
     "ssn": r"ssn|social security",
+    "secret": "token|secret|key|password|bearer",
 }
 #: A text without this can't hold the kind.
 NEEDED = {"email": "@", "phone": "+", "ssn": "-", "ip": "."}
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A span.
 SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,score:int>"
-#: Elements of an array whose running sums are taken at once.
-RUN = 128
+#: Elements of an array whose running sums or maxima are taken at once.
+RUN = 64
+#: SQL: the sum, or the largest, of an array of numbers; of an empty one 0.
+FOLDS = {"sum": "aggregate({0}, 0L, (p, q) -> p + q)", "max": "coalesce(array_max({0}), 0L)"}
+JOINS = {"sum": "{0} + {1}", "max": "greatest({0}, {1})"}
 
 
-def _sum(values: str) -> str:
-    return f"aggregate({values}, 0L, (p, q) -> p + q)"
+def _run_folds(values: str, fold: str) -> str:
+    """SQL: the sum (or maximum) of each run of an array."""
+    return f"transform(sequence(0, (size({values}) - 1) div {RUN}), r -> {FOLDS[fold].format(f'slice({values}, cast(r as int) * {RUN} + 1, {RUN})')})"
 
 
-def _run_sums(values: str) -> str:
-    """SQL: the sum of each run of an int array."""
-    return f"transform(sequence(0, (size({values}) - 1) div {RUN}), r -> {_sum(f'slice({values}, cast(r as int) * {RUN} + 1, {RUN})')})"
+def _folds_before(runs: str, fold: str) -> str:
+    """SQL: the sum (or maximum) of the runs before each run."""
+    return f"transform({runs}, (x, r) -> {FOLDS[fold].format(f'slice({runs}, 1, r)')})"
 
 
-def _sums_before(runs: str) -> str:
-    """SQL: the sum of the runs before each run."""
-    return f"transform({runs}, (x, r) -> {_sum(f'slice({runs}, 1, r)')})"
-
-
-def _running_sums(values: str, before: str) -> str:
-    """SQL: the sums of the first 1, 2, ... elements, from those of the runs, so
-    that a text with n matches costs n x run and not n x n steps."""
-    inner = f"transform(sequence(1, least({RUN}, size({values}) - r * {RUN})), i -> b + {_sum(f'slice({values}, r * {RUN} + 1, i)')})"
+def _running(values: str, before: str, fold: str) -> str:
+    """SQL: the sums (or maxima) of the first 1, 2, ... elements, from those of
+    the runs, so that a text with n matches costs n x run and not n x n steps."""
+    own = FOLDS[fold].format(f"slice({values}, r * {RUN} + 1, i)")
+    inner = f"transform(sequence(1, least({RUN}, size({values}) - r * {RUN})), i -> {JOINS[fold].format('b', own)})"
     return f"flatten(transform({before}, (b, r) -> {inner}))"
 
 
@@ -104,7 +106,9 @@ def _confirmed(kind: str, hit: str) -> str:
 def _spans(kind: str, hits: str, pieces: str, starts: str) -> str:
     """SQL: the confirmed spans of one kind, as (start, kind's rank, kind, end, score)."""
     rank = list(PATTERNS).index(kind)
-    nearby = f"lower(right({pieces}[i], {NEARBY})) rlike '{CONTEXT[kind]}'".replace("\\", "\\\\")
+    # the text around a match, as far as the next one of its kind
+    before, after = f"right({pieces}[i], {NEARBY})", f"left({pieces}[i + 1], {NEARBY})"
+    nearby = f"lower(concat({before}, '|', {after})) rlike '{CONTEXT[kind]}'".replace("\\", "\\\\")
     score = f"{SCORES[kind]} + if({nearby}, {CONTEXT_SCORE}, 0)"
     least = 0 if kind in BASE else LEAST
     begin = f"{starts}[i]"
@@ -136,9 +140,9 @@ def with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
             hits,
             pieces,
             some(steps, "int"),
-            some(_run_sums(n["steps"]), "bigint"),
-            some(_sums_before(n["runs"]), "bigint"),
-            some(_running_sums(n["steps"], n["before"]), "bigint"),
+            some(_run_folds(n["steps"], "sum"), "bigint"),
+            some(_folds_before(n["runs"], "sum"), "bigint"),
+            some(_running(n["steps"], n["before"], "sum"), "bigint"),
             some(_spans(kind, n["hits"], n["pieces"], n["starts"]), SPAN),
         )
         for p, column in zip(parts, made):
@@ -150,8 +154,9 @@ def with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores)`` for
-    every row; spans is ``kind:start:end`` joined by commas.
+    """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, scores,
+    n_spans)`` for every row; spans is ``kind:start:end`` joined by commas, scores
+    their hundredths.
 
     A null text is empty.  Repeated rows and null ids are rows like others;
     further columns don't matter; an empty table gives an empty one.
@@ -161,7 +166,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     counts = [F.expr(f"cast(size(filter(found, s -> s.kind = '{k}')) as bigint) as n_{k}") for k in BASE]
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     scores = F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",")
-    return docs.select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"), scores.alias("scores"))
+    return docs.select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(F.col("found")).alias("spans"), scores.alias("scores"), F.size("found").cast("long").alias("n_spans"))
 
 
 #: Characters of the blocks a text with spans is cut into, to be rebuilt from.
@@ -171,26 +176,35 @@ MASK_BLOCK = 1024
 def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``docs`` with each span in ``text`` replaced by its kind in brackets, of
     overlapping spans by the first one's, and ``n_chars`` (if there is such a
-    column) counted anew where the text changed.  Rows, other columns and texts
-    without spans stay as they are."""
-    found, merged, blocks, masked = fresh(docs, "found", "merged", "blocks", "masked")
+    column) counted anew where the text changed.  Rows (repeated ones and those
+    without an id too), other columns and texts without spans, null ones among
+    them, stay as they are; an empty table gives an empty one."""
+    found, ends, runs, before, tops, firsts, merged, blocks, masked = fresh(docs, "found", "ends", "runs", "before", "tops", "firsts", "merged", "blocks", "masked")
     columns = docs.columns
     docs = with_spans(docs, text, found)
-    union = (
-        f"aggregate({found}, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (a, s) -> "
-        "if(size(a) > 0 and s.start < element_at(a, -1).end, "
-        "concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))), "
-        "concat(a, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))))"
+    some = lambda sql, of: F.expr(f"if(size({found}) = 0, cast(array() as array<{of}>), {sql})")
+    # a span begins a mask of its own if none before it reaches so far; how far
+    # those before reach is a running maximum
+    reached = f"if(get({firsts}, k + 1) is null, element_at({tops}, -1), {tops}[{firsts}[k + 1] - 1])"
+    steps = (
+        (ends, some(f"transform({found}, s -> s.end)", "bigint")),
+        (runs, some(_run_folds(ends, "max"), "bigint")),
+        (before, some(_folds_before(runs, "max"), "bigint")),
+        (tops, some(_running(ends, before, "max"), "bigint")),
+        (firsts, some(f"filter(sequence(0, size({found}) - 1), i -> i = 0 or {found}[i].start >= {tops}[i - 1])", "int")),
+        (merged, some(f"transform({firsts}, (f, k) -> named_struct('start', {found}[f].start, 'end', {reached}, 'kind', {found}[f].kind))", "struct<start:bigint,end:bigint,kind:string>")),
     )
+    for name, step in steps:
+        docs = docs.withColumn(name, step)
     cut = F.when(F.size(found) > 0, F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{MASK_BLOCK}}}"), F.lit(0)))
     part = lambda p, q: f"substring(array_join(slice({blocks}, cast(({p}) div {MASK_BLOCK} as int) + 1, cast(({q}) div {MASK_BLOCK} - ({p}) div {MASK_BLOCK} as int) + 1), ''), cast(({p}) % {MASK_BLOCK} as int) + 1, cast(({q}) - ({p}) as int))"
-    before = f"if(i = 0, 0L, {merged}[i - 1].end)"
+    since = f"if(i = 0, 0L, {merged}[i - 1].end)"
     last = f"element_at({merged}, -1).end"
     rebuilt = (
-        f"concat(array_join(transform({merged}, (s, i) -> concat({part(before, 's.start')}, '[', upper(s.kind), ']')), ''), "
+        f"concat(array_join(transform({merged}, (s, i) -> concat({part(since, 's.start')}, '[', upper(s.kind), ']')), ''), "
         f"{part(last, f'cast(length({text}) as bigint)')})"
     )
-    docs = docs.withColumns({merged: F.expr(union), blocks: cut})
+    docs = docs.withColumn(blocks, cut)
     docs = docs.withColumn(masked, F.when(F.size(found) > 0, F.expr(rebuilt)).otherwise(F.col(text)))
     out = []
     for c in columns:
