@@ -66,13 +66,15 @@ def replicate(
     temperature: float = TEMPERATURE,
     seed: int = SEED,
     copy: str | None = "copy",
+    text: str = "text",
 ) -> DataFrame:
     """The mix: rows of ``docs``, each as often as its number says, in a global
     random order, with the number of the copy (from 0) in column ``copy``.
 
     A null source is a source.  Rows that repeat an id get the same number
-    each; null ids are one id.  A column of ``docs`` named like ``copy`` gets
-    its values replaced; an empty table gives an empty one.
+    each; rows without an id go by their ``text``, if there is such a column.
+    Where ``docs`` has a column named like ``copy``, that stays and the new one
+    has underscores before its name.  An empty table gives an empty one.
     """
     told = rates(docs, source, weights, total, temperature)
     parts = F.greatest(F.ceil(F.col("rate") / MOST_MEAN), F.lit(1)).cast("int")
@@ -81,14 +83,15 @@ def replicate(
     of, number, cdf, nth, where = fresh(docs, "of_source", "parts", "cdf", "copy_number", "shuffle_key")
     told = stored(told.select("of_source", "parts", "cdf"), "rates").withColumnsRenamed({"of_source": of, "parts": number, "cdf": cdf})
     joined = docs.join(told, F.col(source).eqNullSafe(F.col(of)))
-    draw = f"size(filter({cdf}, c -> c <= {uniform(f'`{doc_id}`', seed, 'cast(i as string)')}))"
+    key_of = f"coalesce(cast(`{doc_id}` as string), md5(cast(`{text}` as string)))" if text in docs.columns else f"`{doc_id}`"
+    draw = f"size(filter({cdf}, c -> c <= {uniform(key_of, seed, 'cast(i as string)')}))"
     n = F.expr(f"aggregate(sequence(0, {number} - 1), 0, (s, i) -> s + {draw})")
     joined = joined.withColumn(nth, n).where(F.col(nth) > 0).drop(of, number, cdf)
     copies = joined.withColumn(nth, F.explode(F.sequence(F.lit(0), F.col(nth) - 1)))
-    key: Column = F.xxhash64(F.col(doc_id), F.col(nth), F.xxhash64(F.col(source)), F.lit(seed), *[F.col(c) for c in ("text",) if c in docs.columns])
+    key: Column = F.xxhash64(F.col(doc_id), F.col(nth), F.xxhash64(F.col(source)), F.lit(seed), *[F.col(c) for c in (text,) if c in docs.columns])
     copies = copies.withColumn(where, key)
     out = copies.repartition(F.col(where)).sortWithinPartitions(where).drop(where)
-    return out.drop(nth) if copy is None else out.drop(copy).withColumnRenamed(nth, copy) if copy in docs.columns else out.withColumnRenamed(nth, copy)
+    return out.drop(nth) if copy is None else out.withColumnRenamed(nth, *fresh(docs, copy))
 
 
 def oracle(documents: str = "documents", seed: int = SEED, temperature: float = TEMPERATURE) -> str:
@@ -101,6 +104,6 @@ r as (select source, weight * ((select sum(n) from w)::double / (select sum(weig
 c(source, rate, k, p, cdf) as (select source, rate, 0, exp(-rate), exp(-rate) from r
   union all select source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) from c where k < ceil(rate + 12 * sqrt(rate) + 20)),
 l as (select source, list(cdf order by k) as cdfs from c group by source),
-d as (select d.*, len(list_filter(l.cdfs, lambda x: x <= (('0x' || substr(md5(coalesce(d.doc_id::varchar, '') || '|{seed}|0'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double)) as times
+d as (select d.*, len(list_filter(l.cdfs, lambda x: x <= (('0x' || substr(md5(coalesce(d.doc_id::varchar, md5(d.text), '') || '|{seed}|0'), 1, 13))::bigint + 0.5::double) / 4503599627370496::double)) as times
   from {documents} d join l on d.source is not distinct from l.source)
 select * exclude (times), unnest(range(times))::int as copy from d"""
