@@ -6,9 +6,9 @@ cells of bounded size; each cell is packed by best-fit decreasing, and
 dual-feasible functions give a lower bound of its bins.  A cell that meets its
 bound is certified and keeps its bins (but for its loosest, which may yet be
 merged with others'); cells with a gap release all bins that aren't full.
-What was released is dealt anew, into cells twice as large, so that cells
-exchange documents, and packed again, until it fits in one cell or the rounds
-are over.
+What was released is dealt anew, so that cells exchange documents, and packed
+again, for as long as that makes the gaps smaller.  The result says of each
+piece whether its cell was certified; :func:`certificate` sums it up.
 """
 
 from __future__ import annotations
@@ -26,9 +26,8 @@ from querylens.llm.tokens import grouped, tokenizer
 
 #: Tokens of a sequence, and the id after each document.
 CAPACITY, END_ID = 4096, 1
-#: Pieces of a cell on average, to begin with, and rounds of exchange after the
-#: first packing.  A task holds at most ``CELL << ROUNDS`` pieces on average.
-CELL, ROUNDS = 40_000, 3
+#: Pieces of a cell on average: what a task holds.
+CELL = 100_000
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -96,9 +95,13 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     ones up to the capacity; u_k rounds (k + 1)-folds of sizes down to whole
     capacities.  Both map a bin's items to at most one capacity.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """:func:`lower_bound` of as many pieces of each length."""
+    if not count.any():
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     below = np.concatenate([[0], np.cumsum(count)])  # items smaller than
     total = np.concatenate([[0], np.cumsum(count * size)])
@@ -122,6 +125,8 @@ def _pack_cell(capacity: int):
         bins, offsets, room = best_fit_decreasing(lengths, capacity)
         gap = len(room) - lower_bound(lengths, capacity)
         released = room > 0 if gap else np.arange(len(room)) == np.argmax(room)
+        # bins over the bound, told once
+        first = np.arange(len(items)) == 0
         name = np.full(len(room), np.iinfo(np.int64).max)
         np.minimum.at(name, bins, items)  # a bin is named by its least item
         n = len(items)
@@ -132,41 +137,56 @@ def _pack_cell(capacity: int):
                 "bin": name[bins],
                 "offset": offsets,
                 "released": released[bins],
-                "gap": np.full(n, gap),
+                "certified": np.full(n, gap == 0),
+                "gap": np.where(first, gap, 0),
             }
         )
 
     return run
 
 
-def packed(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL, rounds: int = ROUNDS) -> DataFrame:
-    """``(item, bin, offset)`` for ``items`` (item long, unique; length 1 to
-    ``capacity``).  Bins are named by one of their items."""
-    schema = "item long, length long, bin long, offset long, released boolean, gap long"
-    rest, n, kept = items.select("item", "length"), items.count(), []
-    for turn in range(rounds + 1):
-        cells = max(1, -(-n // (cell << turn)))
+def packed(items: DataFrame, capacity: int = CAPACITY, cell: int = CELL) -> DataFrame:
+    """``(item, bin, offset, certified)`` for ``items`` (item long, unique; length
+    1 to ``capacity``).  Bins are named by one of their items; certified says
+    that no packing of the cell's pieces has fewer bins."""
+    schema = "item long, length long, bin long, offset long, released boolean, certified boolean, gap long"
+    rest, n, kept, turn, best = items.select("item", "length"), items.count(), [], 0, None
+    while n:
+        cells = -(-n // cell)
         dealt = rest.withColumn("cell", F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(cells)))
         done = stored(dealt.groupBy("cell").applyInArrow(_pack_cell(capacity), schema), "packed")
-        if cells == 1 or turn == rounds:
-            kept.append(done)
+        gap, n = done.agg(F.sum("gap"), F.count_if("released")).first()
+        turn += 1
+        if cells == 1 or (best is not None and gap >= best):
+            kept.append(done)  # nothing left to exchange, or no use
             break
-        n = done.where("released").count()
+        best = gap
         kept.append(done.where("not released"))
         rest = done.where("released")
-        if not n:
-            break
-    out = kept[0]
+    out = kept[0] if kept else items.sparkSession.createDataFrame([], schema)
     for more in kept[1:]:
         out = out.unionAll(more)
-    return out.select("item", "bin", "offset")
+    return out.select("item", "bin", "offset", "certified")
+
+
+def certificate(packed_rows: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """What the rows of :func:`pack_documents` prove: ``sequences``, the
+    ``lower_bound`` of any packing of all pieces (dual-feasible functions of the
+    counts of lengths) and ``uncertified``, the sequences of cells with a gap."""
+    lengths = packed_rows.groupBy("length").agg(F.count("*").alias("n")).collect()
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for r in lengths:
+        count[r.length] = r.n
+    of = packed_rows.groupBy("sequence_id").agg(F.min("certified").alias("certified"))
+    found = of.agg(F.count("*").alias("n"), F.count_if(~F.col("certified")).alias("open")).first()
+    return {"sequences": found.n, "lower_bound": bound_of_counts(count, capacity), "uncertified": found.open}
 
 
 def pack_documents(
     docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, cell: int = CELL
 ) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id,
-    offset); the pieces of a sequence fill it from 0 without gaps.
+    offset, certified); the pieces of a sequence fill it from 0 without gaps.
 
     A null, empty or blank text is the end id alone.  Rows that repeat are
     packed as often as they occur; an id may be null.  Other columns don't
@@ -174,9 +194,9 @@ def pack_documents(
     """
     # the number of each piece is written down, so it survives recomputation
     cut = stored(pieces(docs, path, doc_id, text, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pieces")
-    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long")})
+    full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
     placed = packed(cut.where(F.col("length") < capacity).select("item", "length"), capacity, cell)
-    placed = placed.select(F.col("item").alias("of"), F.col("bin").alias("sequence_id"), "offset")
+    placed = placed.select(F.col("item").alias("of"), F.col("bin").alias("sequence_id"), "offset", "certified")
     part = cut.where(F.col("length") < capacity).join(placed, F.col("item") == F.col("of"))
-    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
     return full.select(out).unionAll(part.select(out))
