@@ -46,19 +46,27 @@ def release_memory() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local mode) is one made here.
+    One is made here only in local mode (tests); a cluster must name its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="querylens-shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths made by this application that are still there.
+_paths: set[str] = set()
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/querylens-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/querylens-{tag}-{uuid.uuid4().hex}"
+    _paths.add(path)
+    return path
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -80,6 +88,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _paths.discard(path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete all that the operators have left in the shared folder; for when
+    every result of theirs has been consumed."""
+    for path in list(_paths):
+        drop_path(spark, path)
 
 
 def drop(df: DataFrame) -> None:

@@ -523,10 +523,17 @@ def test_large_means_and_shuffled_rows(spark):
     assert len(set(order[:200])) > 100
 
 
+def test_rows_without_ids_are_drawn_by_their_text(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "s") for i in range(4000)], "doc_id long, text string, source string")
+    got = [r["count"] for r in mixing.replicate(df).groupBy("text").count().collect()]
+    assert 0.6 * 4000 < len(got) < 0.67 * 4000 and sum(got) > 3700  # a Poisson number of mean 1 each
+    assert mixing.replicate(df.drop("text")).columns == ["doc_id", "source", "copy"]
+
+
 def test_mix_of_odd_rows(odd):
     got = mixing.replicate(odd, total=2000.0)
-    assert got.columns == [c for c in odd.columns if c != "copy"] + ["copy"]
-    numbers = got.where("doc_id = 5").groupBy("copy").count().collect()
+    assert got.columns == [*odd.columns, "_copy"] and {r.copy for r in got.select("copy").collect()} == {"own copy"}
+    numbers = got.where("doc_id = 5").groupBy("_copy").count().collect()
     assert all(r["count"] == 2 for r in numbers)  # repeated rows have the same number
     assert mixing.replicate(odd, copy=None).columns == odd.columns
     assert mixing.replicate(empty(odd)).collect() == []
@@ -594,11 +601,33 @@ def test_cells_exchange_until_certified(spark):
     assert len(placed) == 3000
     # small cells certify counts that one large cell would beat, but not by much,
     # and exchange never makes it worse
-    alone = packing.packed(items, cell=600, rounds=0).select("bin").distinct().count()
+    alone = sum(len(packing.best_fit_decreasing(np.array(lengths)[k::5])[2]) for k in range(5))
     assert assert_packed(placed) <= min(alone, one * 1.02)
     assert one <= packing.lower_bound(np.array(lengths)) * 1.02
 
 
+def test_packing_is_certified(spark, docs):
+    rows = packing.pack_documents(docs, queries.vocabulary_path())
+    told = packing.certificate(rows)
+    lengths = np.array([r.length for r in rows.collect()])
+    assert told["lower_bound"] == packing.lower_bound(lengths) <= told["sequences"] == rows.select("sequence_id").distinct().count()
+    if all(r.certified for r in rows.collect()):
+        assert told["uncertified"] == 0
+    # what is certified is proved: nothing of its cell fits in fewer
+    hard = spark.createDataFrame([(i, 2100) for i in range(9)], "item long, length long")
+    assert {(r.certified, r.offset) for r in packing.packed(hard).collect()} == {(True, 0)}
+
+
+def test_all_code_points_are_encoded_alike():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(queries.vocabulary_path()), tokens.tokenizer(queries.vocabulary_path())
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'s{chr(c)}" for c in [*range(0x3100), *range(0xA000, 0xA100), *range(0xFB00, 0x10000), *range(0x1F600, 0x1F650)]]
+    ids, sizes = own.encode(pa.array(texts))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
 def test_other_tokenizers_read_whole_texts():
     import public_tokenizers
     import pyarrow as pa
@@ -778,6 +807,44 @@ def test_spans_equal_the_given_patterns(spark):
         assert len(r.scores.split(",")) == len(r.spans.split(","))
 
 
+SCORED = {"email": (90, "mail|contact|write"), "ip": (60, r"\bip\b|address|server|host"), "card": (85, "card|visa|credit|payment"), "phone": (60, "phone|tel|call|mobile|fax"), "secret": (30, "token|secret|key|password|bearer")}
+
+
+def test_scores_by_the_words_around(spark):
+    """Base score, and 25 more for a context word on either side, at most 40
+    characters off."""
+    rng = random.Random(2)
+    things = ["a.b@c.de", "10.0.0.1", "4111111111111111", "+1 (555) 123-4567", "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"]
+    words = ["mail", "ip", "server", "card", "call", "token", "nothing", "here", "zip"]
+    texts = [f"{thing}{' ' * gap}{word}" for thing in things for word in words for gap in (1, 36, 41)]
+    texts += [f"{word}{' ' * gap}{thing}" for thing in things for word in words for gap in (1, 36, 41)]
+    texts += [" ".join(rng.choice(things + words * 2) + "," for _ in range(30)) for _ in range(60)]
+    patterns = {k: re.compile(re.sub(r"\+\+|\\G\|", lambda m: "+" if m[0] == "++" else "", pii.PATTERNS[k])) for k in SCORED}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_personal_data(df).collect():
+        got = dict(zip(r.spans.split(","), r.scores.split(",")))
+        text, want = texts[r.doc_id], {}
+        for kind, (base, context) in SCORED.items():
+            hits = [m.span() for m in patterns[kind].finditer(text)]
+            for k, (a, b) in enumerate(hits):
+                # what is looked at ends at a neighbour of the same kind
+                low, high = (hits[k - 1][1] if k else 0), (hits[k + 1][0] if k + 1 < len(hits) else len(text))
+                near = f"{text[max(low, a - 40):a]}|{text[b:min(high, b + 40)]}".lower()
+                want[f"{kind}:{a}:{b}"] = base + 25 * bool(re.search(context, near))
+        for span, score in got.items():
+            assert not span or want[span] == int(score), (text, span)
+        assert all(s in got for s, n in want.items() if n >= 50 and not s.startswith(("card", "phone", "ip"))) and r.n_spans == len([s for s in got if s])
+
+
+def test_masks_are_linear_in_spans(spark):
+    import time
+
+    df = spark.createDataFrame([(0, "a@b.cd 1.2.3.4 " * 50_000, 0)], "doc_id long, text string, n_chars long")
+    began = time.monotonic()
+    masked = pii.mask_personal_data(df).first().text
+    assert masked == "[EMAIL] [IP] " * 50_000 and time.monotonic() - began < 30
+
+
 def test_added_kinds_are_validated(spark):
     df = spark.createDataFrame([(0, PII[2]), (1, "call 123-45-6789 now GB83WEST12345698765432")], "doc_id long, text string")
     got = {r.doc_id: r.spans.split(",") for r in pii.find_personal_data(df).collect()}
@@ -833,7 +900,7 @@ def brute_tree(text):
 
 
 def brute_edits(rows):
-    rows = sorted([(i, t or "") for i, t in rows], key=lambda r: ([-ord(c) for c in r[1]] + [1]))
+    rows = sorted([(i, t or "") for i, t in rows], key=lambda r: hashlib.md5(r[1].encode("utf-8", "surrogatepass")).hexdigest(), reverse=True)
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
     out = []
     for k, (i, text) in enumerate(rows):
@@ -855,6 +922,20 @@ def test_edits_equal_brute_force(spark, parts):
     assert sorted([tuple(r)[:7] for r in got], key=str) == brute_edits(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 8, 40])
+def test_hot_ids_and_equal_rows_are_split(spark, parts):
+    rng = random.Random(9)
+    rows = [(None, f"no id {i}. of {rng.random()}\n\nend") for i in range(70)] + [(None, "all the same. here")] * 90 + [(None, None)] * 5
+    rows += [(7, f"seven {i}") for i in range(60)] + [(7, "equal. text")] * 50 + [(i * 3, f"own {i}. text\n") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumns({c: F.lit(c) for c in ("part", "tie", "times", "host")})
+    got = merkle.edit_fingerprints(df, parts=parts).collect()
+    assert sorted([tuple(r)[:7] for r in got], key=str) == brute_edits(rows)
+    if parts == 40:
+        bare = df.selectExpr("doc_id", "coalesce(text, '') as text")
+        sizes = sorted(r["count"] for r in merkle._dealt(bare, parts, len(rows)).groupBy("part").count().collect())
+        assert len(sizes) > 20 and sizes[-1] <= 30
+
+
 def test_fingerprints_of_odd_rows(odd):
     got = merkle.edit_fingerprints(odd).collect()
     assert sorted([tuple(r)[:7] for r in got], key=str) == brute_edits([(r[0], r[1]) for r in ODD])
