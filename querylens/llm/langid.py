@@ -23,9 +23,9 @@ SAMPLE_ROWS, EXCERPT = 1000, 400
 #: Bytes of a dictionary, and of the blocks a text is encoded in (so that the
 #: dictionary stays in reach for the whole of a long text).
 DICTIONARY, BLOCK = 1 << 17, 4096
-#: The level all texts are encoded at, and a second one whose sizes are added
-#: for texts of under so many bytes: one size in whole bytes is too coarse there.
-LEVEL, SECOND_LEVEL, SHORT = 6, 12, 512
+#: The levels that each block is encoded at; their sizes are added up, since one
+#: size in whole bytes is coarse for a short text.
+LEVELS = (3, 6)
 #: Least share by which the best must beat the second.
 MARGIN = 0.002
 #: The answer for a text without letters.
@@ -50,11 +50,11 @@ class Model:
     dictionaries: tuple[bytes, ...]
 
     def compressors(self) -> list[list[zstandard.ZstdCompressor]]:
-        """One for each language, of both levels."""
+        """Those of each language, one for each level."""
         out = []
-        for level in (LEVEL, SECOND_LEVEL):
+        for content in self.dictionaries:
             out.append([])
-            for content in self.dictionaries:
+            for level in LEVELS:
                 made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made.precompute_compress(level=level)
                 out[-1].append(zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False))
@@ -71,9 +71,7 @@ def classify(text: str | None, languages: tuple[str, ...], compressors: list) ->
     if not data or not languages:
         return UNKNOWN, 0.0
     blocks = [data[at : at + BLOCK] for at in range(0, len(data), BLOCK)]
-    sizes = [sum(len(c.compress(b)) for b in blocks) for c in compressors[0]]
-    if len(data) < SHORT:
-        sizes = [s + len(c.compress(data)) for s, c in zip(sizes, compressors[1])]
+    sizes = [sum(len(c.compress(b)) for c in own for b in blocks) for own in compressors]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     second = min((s for i, s in enumerate(sizes) if i != best), default=None)
     return languages[best], 1.0 if second is None else (second - sizes[best]) / second
@@ -142,7 +140,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def drop_unidentified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without those whose language is unknown or too close to call."""
+    """``docs`` without those whose language is unknown or too close to call.
+
+    Null texts and those without a letter go, and so do all where no row teaches
+    anything.  A single language is sure of all others.  Ties are too close to
+    call.  Rows that repeat are judged each; columns stay as they are; an empty
+    table gives an empty one.
+    """
     model = fit(docs.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)), doc_id, text, lang)
     pred, score = fresh(docs, "lang_pred", "score")
     return predict(docs, model, text, pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= MARGIN)).drop(pred, score)

@@ -156,7 +156,51 @@ def test_languages_of_odd_rows(spark, odd):
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and {r.score for r in got if r.doc_id == 4} == {1.0}
     assert langid.identify(empty(odd)).collect() == []
     assert {r.lang_pred for r in langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    assert langid.drop_unidentified(odd).columns == odd.columns
+    told = odd.withColumn("lang", F.lit("en"))
+    left = langid.drop_unidentified(told)
+    assert left.columns == odd.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(map(str, (4, 5, 5, 6, None, 7, 8, 9)))
+    assert langid.drop_unidentified(empty(odd)).collect() == [] and langid.drop_unidentified(odd.withColumn("lang", F.lit(None).cast("string"))).collect() == []
+
+
+def test_languages_equal_brute_force(spark, docs):
+    """Fit and classification anew, on plain lists."""
+    import struct
+
+    def hashed(i):
+        h = xxhash.xxh64_intdigest(b"langid", xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        return h - (1 << 64) if h >> 63 else h
+
+    def plain(text):
+        low = re.sub(r"[\W\d_]+", " ", f" {text or ''} ".lower())
+        return low.encode("utf-8", "replace") if any(c.isalpha() for c in low) else b""
+
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()] + [(5000, None, "en"), (5001, "12 !", None), (5002, "Wie geht es dir", None)]
+    learned = sorted((hashed(i), t or "", x) for i, t, x in rows if x is not None and zlib.crc32(str(i).encode()) % 5)
+    excerpts = {}
+    for h, text, lang in learned:  # fewer than are sampled, so all of them
+        at = h % max(len(text) - 400, 1)
+        excerpts.setdefault(lang, {})[plain(text[at : at + 400])] = None
+    often = {x: sum(y == x for _, _, y in learned) for x in excerpts}
+    languages = sorted(excerpts, key=lambda x: (-often[x], x))
+    content = {x: b" ".join(e for e in excerpts[x] if e)[: 1 << 17] for x in languages}
+
+    def size(data, lang):
+        total = 0
+        for level in (3, 6):
+            made = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            made.precompute_compress(level=level)
+            own = zstandard.ZstdCompressor(level=level, dict_data=made, write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += sum(len(own.compress(data[a : a + 4096])) for a in range(0, len(data), 4096))
+        return total
+
+    want = []
+    for i, text, _ in rows:
+        data = plain(text)
+        sizes = sorted((size(data, x), k) for k, x in enumerate(languages)) if data else []
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0] if data else 0.0
+        want.append((i, zlib.crc32(str(i).encode()) % 5 == 0, languages[sizes[0][1]] if data else "und", margin, margin < 0.002))
+    df = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in rows], DOCS)
+    assert sorted(map(tuple, langid.identify(df).collect())) == sorted(want)
 
 
 def test_letters():
