@@ -204,7 +204,7 @@ class Service:
         return {k: plain(v) for k, v in found.items() if v is not None}
 
     def facets(self) -> dict:
-        return facets(self._records(self._snapshot()))
+        return facets(self._records(self._snapshot()), most=guard.ROW_CAP)
 
     def records(self, given: dict[str, str]) -> dict:
         listed = lambda name: [v for v in given.get(name, "").split(",") if v.strip()]
@@ -230,7 +230,8 @@ class Service:
         if limit < 1 or offset < 0:
             raise bad("Invalid limit parameter.")
         snapshot = self._snapshot()
-        return table(listing(self._records(snapshot), narrowed, self.store.files(snapshot), given.get("order_by", "id"), given.get("order_dir", "asc"), limit, offset))
+        found = listing(self._records(snapshot), narrowed, self.store.files(snapshot), given.get("order_by", "id"), given.get("order_dir", "asc"))
+        return table(found, limit, offset)
 
     def record(self, id_: str) -> dict:
         found = record_by_id(self._records(self._snapshot()), int(id_)).first() if id_.isdigit() else None
@@ -241,23 +242,25 @@ class Service:
     def report(self, name: str, given: dict[str, str]) -> dict:
         logs = self.store.logs(self._snapshot())
         try:
-            limit, least = int(given.get("limit") or 10), float(given.get("min_time") or 0)
+            limit, least, offset = int(given.get("limit") or 10), float(given.get("min_time") or 0), int(given.get("offset") or 0)
         except ValueError:
             raise bad("Invalid limit parameter.") from None
+        if not 1 <= limit <= aggregate.MOST or offset < 0 or not math.isfinite(least):
+            raise bad("Invalid limit parameter.")
         interval = given.get("interval") or "hour"
         if interval not in reports.BUCKETS:
             raise bad("Invalid interval parameter.")
         found = {
-            "top-queries": lambda: reports.top_queries(logs, limit).drop("fingerprint_id"),
-            "slowest-queries": lambda: reports.slowest(logs, limit, least),
-            "table-usage": lambda: reports.table_usage(logs).limit(aggregate.MOST),
-            "timeline": lambda: reports.timeline(logs, interval).limit(guard.ROW_CAP),
-            "full-scans": lambda: reports.full_scans(logs).limit(limit),
-            "users": lambda: reports.by_user(logs).limit(aggregate.MOST),
+            "top-queries": lambda: (reports.top_queries(logs, limit + offset + 1).drop("fingerprint_id"), limit),
+            "slowest-queries": lambda: (reports.slowest(logs, limit + offset + 1, least), limit),
+            "table-usage": lambda: (reports.table_usage(logs), aggregate.MOST),
+            "timeline": lambda: (reports.timeline(logs, interval), guard.ROW_CAP),
+            "full-scans": lambda: (reports.full_scans(logs), limit),
+            "users": lambda: (reports.by_user(logs), aggregate.MOST),
         }.get(name)
         if not found:
             raise Refused(404, "not_found", "No such report.")
-        return table(found())
+        return table(*found(), offset)
 
     def search(self, name: str, given: dict[str, str]) -> dict:
         logs, text = self.store.logs(self._snapshot()), given.get("q", "")
@@ -265,8 +268,11 @@ class Service:
             raise bad("q is required.")
         if name not in ("fingerprint", "table"):
             raise Refused(404, "not_found", "No such search.")
+        offset = given.get("offset") or "0"
+        if not offset.isdigit():
+            raise bad("Invalid offset parameter.")
         found = reports.search_fingerprint(logs, text) if name == "fingerprint" else reports.search_table(logs, text)
-        return table(found.limit(aggregate.MOST))
+        return table(found, aggregate.MOST, int(offset))
 
     def answer(self, method: str, path: str, given: dict[str, str], body: bytes, authorization: str) -> dict:
         """The body of a 200, or Refused."""
@@ -307,10 +313,12 @@ class Service:
         raise Refused(404, "not_found", "No such route.")
 
 
-def table(df: DataFrame) -> dict:
-    """A bounded DataFrame as columns, rows and their number."""
-    rows = df.collect()
-    return {"columns": df.columns, "rows": [plain(tuple(r)) for r in rows], "count": len(rows)}
+def table(df: DataFrame, most: int, offset: int = 0) -> dict:
+    """At most so many rows of an ordered DataFrame: columns, rows, their number,
+    and whether there are more, which ``offset`` gets at."""
+    rows = (df.offset(offset) if offset else df).limit(most + 1).collect()
+    shown = [plain(tuple(r)) for r in rows[:most]]
+    return {"columns": df.columns, "rows": shown, "count": len(shown), "truncated": len(rows) > most}
 
 
 def openapi() -> dict:

@@ -100,14 +100,15 @@ def newest_generation(files: DataFrame, path: str) -> DataFrame:
 
 
 def excluding(df: DataFrame, key: Column, values: Sequence[str]) -> DataFrame:
-    """Rows whose key isn't among the values.  A long list is an anti join
-    against a table of it, broadcast by its size or not."""
+    """Rows whose key isn't null and isn't among the values (without any, all
+    rows).  A long list is an anti join against a table of it, broadcast by its
+    size or not."""
     if not values:
         return df
     if len(values) <= LITERALS:
         return df.where(~key.isin(list(values)))
     listed = df.sparkSession.createDataFrame([(v,) for v in values], "excluded_key string")
-    return df.join(listed, key == F.col("excluded_key"), "left_anti")
+    return df.where(key.isNotNull()).join(listed, key == F.col("excluded_key"), "left_anti")
 
 
 #: Columns a listing may be ordered by.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylens.functions.text import preview, source_host
@@ -82,13 +82,19 @@ def distinct_tables(records: DataFrame) -> DataFrame:
     return distinct_values(exploded, "table_name")
 
 
-def facets(records: DataFrame, columns: Sequence[str] = ("user", "db", "host", "source_host")) -> dict[str, list[str]]:
+def facets(records: DataFrame, columns: Sequence[str] = ("user", "db", "host", "source_host"), most: int | None = None) -> dict:
     """The values to filter by, of each column and of the tables, from one job:
-    distinct (facet, value) pairs."""
+    distinct (facet, value) pairs, in order.  With ``most``, at most so many of
+    each, and ``truncated`` names the facets that have more."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in columns])
     tables = F.transform(F.coalesce("tables", F.array().cast("array<string>")), lambda t: F.struct(F.lit("tables").alias("facet"), t.alias("value")))
     rows = records.select(F.explode(F.concat(pairs, tables)).alias("p")).select("p.facet", "p.value").where(not_empty("value")).distinct()
-    out: dict[str, list[str]] = {c: [] for c in (*columns, "tables")}
+    if most is not None:  # a rank under a limit, so that no task holds more of a facet
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("facet").orderBy("value"))).where(F.col("nth") <= most + 1).drop("nth")
+    out: dict = {c: [] for c in (*columns, "tables")}
     for r in rows.orderBy("facet", "value").toLocalIterator():
         out[r.facet].append(r.value)
+    if most is not None:
+        more = [c for c, values in out.items() if len(values) > most]
+        out = {c: values[:most] for c, values in out.items()} | ({"truncated": more} if more else {})
     return out

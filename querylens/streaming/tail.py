@@ -41,8 +41,10 @@ def with_event_time(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def without_replays(stream: DataFrame) -> DataFrame:
-    """One entry per file and offset, remembered for as long as one may be late."""
-    return stream.dropDuplicatesWithinWatermark(["file_hash", "event_offset"])
+    """One entry per file, offset and content, remembered for as long as one may
+    be late.  A file that was rotated begins at offset 0 again: what is new there
+    differs from what stood at its offset, and stays."""
+    return stream.dropDuplicatesWithinWatermark(["file_hash", "event_offset", "event_hash"])
 
 
 def windowed_costs(stream: DataFrame, length: str = "1 hour", slide: str | None = None, by: Iterable[str] = ("fingerprint_id",)) -> DataFrame:

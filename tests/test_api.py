@@ -144,6 +144,13 @@ def test_reports_and_records(call):
         assert call(f"/api/v1/reports/{name}")[0] == 200
     assert call("/api/v1/search/fingerprint?q=ORDERS")[1]["count"] == 1 and call("/api/v1/search/table?q=shop.orders")[1]["count"] == 2
     assert call("/api/v1/search/table")[0] == 400
+    for limit in (0, -1, 10**9):
+        assert call(f"/api/v1/reports/full-scans?limit={limit}")[0] == 400
+    first = call("/api/v1/reports/slowest-queries?limit=1")[1]
+    assert first["truncated"] is True and first["count"] == 1 and call("/api/v1/reports/slowest-queries")[1]["truncated"] is False
+    scans = call("/api/v1/reports/full-scans?limit=1")[1]
+    assert scans["truncated"] is True and call("/api/v1/reports/full-scans?limit=1&offset=1")[1]["rows"] != scans["rows"]
+    assert call("/api/v1/search/table?q=shop.orders&offset=1")[1]["count"] == 1 and call("/api/v1/search/table?q=shop.orders&offset=x")[0] == 400
 
 
 def test_gzip_and_cors(call):

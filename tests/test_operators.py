@@ -129,3 +129,43 @@ def test_as_of_and_range_joins(spark):
     ranges = spark.createDataFrame([(0, 2.5, 4.0), (1, -7.0, 0.0), (2, 9.0, 8.0), (3, 0.0, 30.0)], "r int, low double, high double")
     got = {(r.r, r.p) for r in asof.range_join(points, ranges, "p", "low", "high", 2.0).collect()}
     assert got == {(r, float(p)) for p in range(10) for r, a, b in [(0, 2.5, 4.0), (1, -7.0, 0.0), (3, 0.0, 30.0)] if a <= p <= b}
+
+
+def test_as_of_join_of_a_hot_key(spark):
+    import random
+
+    rng = random.Random(5)
+    marks = [("hot", rng.randrange(5000), i) for i in range(400)] + [(f"k{i % 9}", rng.randrange(5000), i) for i in range(200)] + [("hot", None, -1)]
+    rows = [(rng.choice(["hot", "hot", "k1", "k5", "none"]), rng.randrange(-5, 5005), i) for i in range(500)] + [("hot", None, 1000)]
+    seen = {}
+    marks = [m for m in marks if not (m[:2] in seen or seen.setdefault(m[:2], 1) is None)]  # one value a time
+    left = spark.createDataFrame(rows, "k string, t int, i int")
+    right = spark.createDataFrame(marks, "k string, t int, v int")
+    want = {}
+    for k, t, i in rows:
+        before = [m for m in marks if m[0] == k and t is not None and m[1] is not None and m[1] <= t]
+        want[i] = max(before, key=lambda m: m[1])[2] if before else None
+    for ranges in (1, 2, 64):
+        assert {r.i: r.v for r in asof.as_of_join(left, right, ["k"], "t", ["v"], ranges).collect()} == want
+
+
+def test_wide_ranges_touch_few_buckets(spark):
+    points = spark.createDataFrame([(i * 1.0,) for i in range(-50, 50)], "p double")
+    bounds = [(0, -1e12, 1e12), (1, -3.0, 3.0), (2, 0.0, 0.0), (3, 10.5, 10.6), (4, -40.0, 20.0)]
+    got = {(r.r, r.p) for r in asof.range_join(points, spark.createDataFrame(bounds, "r int, low double, high double"), "p", "low", "high", 1.0).collect()}
+    assert got == {(r, float(p)) for p in range(-50, 50) for r, a, b in bounds if a <= p <= b}
+    none = spark.createDataFrame([], "r int, low double, high double")
+    assert asof.range_join(points, none, "p", "low", "high", 1.0).collect() == []
+
+
+def test_null_keys_go_with_short_and_long_lists(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    for values in (["a"], ["a", *map(str, range(filters.LITERALS))]):
+        assert [r.k for r in filters.excluding(df, F.col("k"), values).collect()] == ["b"]
+    assert filters.excluding(df, F.col("k"), []).count() == 3
+
+
+def test_facets_say_what_is_cut(spark, files):
+    found = records(spark, files, *[log(i, user=f"u{i}") for i in range(5)])
+    cut = rec.facets(found, most=2)
+    assert cut["user"] == ["u0", "u1"] and cut["truncated"] == ["user"] and len(rec.facets(found)["user"]) == 5
