@@ -91,19 +91,19 @@ class Model:
 
 def fit(labelled: Sequence[tuple[str, int]]) -> Model:
     """Logistic regression by gradient descent with weight decay; features are
-    the n-gram counts over the square root of their sum of squares."""
+    the counts of the n-grams, so that scores are whole numbers of millionths."""
     if len(labelled) > MOST_LABELLED:
         raise ValueError(f"at most {MOST_LABELLED} labelled URLs, not {len(labelled)}")
-    rows = []
+    rows: list[tuple[dict[int, float], int]] = []
     for url, y in labelled:
         counts: dict[int, float] = {}
         for b in buckets(*host_and_path(url)):
             counts[b] = counts.get(b, 0) + 1
-        rows.append((counts, y, sum(counts.values()) or 1))
+        rows.append((counts, y))
     w, bias = [0.0] * BUCKETS, 0.0
     for _ in range(ROUNDS):
         step, shift = [0.0] * BUCKETS, 0.0
-        for counts, y, _total in rows:
+        for counts, y in rows:
             error = 1 / (1 + math.exp(-max(-60.0, min(60.0, bias + sum(w[b] * n for b, n in counts.items()))))) - y
             shift += error
             for b, n in counts.items():
