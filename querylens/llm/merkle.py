@@ -85,7 +85,8 @@ def _range_number(cuts: list[int]) -> Column:
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     whole = F.size(F.filter(longs([g[-1] for g in groups]), lambda c: F.col("doc_id") < c))
     part = F.get(F.array(*[longs(g) for g in groups]), whole)
-    return whole * step + F.coalesce(F.size(F.filter(part, lambda c: F.col("doc_id") < c)), F.lit(0))
+    # the last group may be a short one
+    return F.least(whole * step + F.coalesce(F.size(F.filter(part, lambda c: F.col("doc_id") < c)), F.lit(0)), F.lit(len(cuts)))
 
 
 def _share(key: str) -> Column:

@@ -999,6 +999,14 @@ def test_hot_ids_and_equal_rows_are_split(spark, parts):
         assert len(sizes) > 20 and sizes[-1] <= 30
 
 
+def test_every_id_has_a_range(spark):
+    ids = spark.range(0, 400).withColumnRenamed("id", "doc_id")
+    for n in (1, 2, 3, 5, 28, 104):
+        cuts = sorted((3 * i + 5 for i in range(n)), reverse=True)
+        got = {r.doc_id: r.k for r in ids.select("doc_id", merkle._range_number(cuts).alias("k")).collect()}
+        assert got == {i: sum(i < c for c in cuts) for i in range(400)}
+
+
 def test_fingerprints_of_odd_rows(odd):
     got = merkle.edit_fingerprints(odd).collect()
     assert sorted([tuple(r)[:7] for r in got], key=str) == brute_edits([(r[0], r[1]) for r in ODD])
