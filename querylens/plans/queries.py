@@ -184,7 +184,8 @@ def file_stats(spark, sf_dir):
 from records group by fingerprint_id""")
 def source_hosts_list(spark, sf_dir):
     costs = aggregate.fingerprint_costs(adapter.records(spark, sf_dir))
-    return costs.select(F.col("id").alias("fingerprint_id"), F.array_join("source_hosts", ",").alias("source_hosts"))
+    # the SQL has null, not an empty text, where no host is known
+    return costs.select(F.col("id").alias("fingerprint_id"), F.when(F.size("source_hosts") > 0, F.array_join("source_hosts", ",")).alias("source_hosts"))
 
 
 def _facet(column: str) -> None:
