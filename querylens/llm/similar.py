@@ -2,17 +2,19 @@
 
 Two texts are linked if their sets of five-word shingles have a Jaccard
 similarity of at least 0.8; equal sets are one node.  Links are looked for in
-three rounds, each between what the rounds before it left apart, so that a dense
-group of near copies isn't paired within itself:
+rounds, each between what the rounds before it left apart, so that a dense group
+of near copies isn't paired within itself:
 
 1. fingerprints of the shingles at most four bits apart, found through their
    Golay keys (:mod:`querylens.llm.simhash`);
-2. and 3., the exact way for the rest, since four of 64 bits are few and texts
+2. and on, the exact way for the rest, since four of 64 bits are few and texts
    that similar can be a dozen bits apart: prefix filtering.  Under any one order
    of all shingles, sets that similar share one of the first
    ``n - ceil(0.8 n) + 1`` shingles of either.  Of the nodes of such a shingle
-   each is first compared with the next in size, and then all that are still
-   apart with each other, so no link between components is missed.
+   each is first compared with the next in size, then, while very many pairs are
+   apart, with a few drawn ones, which joins the stragglers of a group, and last
+   all that are still apart with each other, so no link between components is
+   missed.
 
 Each round verifies its pairs on the whole sets.  The order of shingles is by how
 often one is in a sample of the texts, then by its hash, so that passages common
@@ -38,6 +40,10 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: One of so many distinct texts is sampled for the order, and shingles of the
 #: sample that are ordered by their number; bounds the driver, not the links.
 SAMPLED, ORDERED = 64, 100_000
+#: While the keys have more than MANY pairs a row that are apart, nodes are
+#: compared with up to SOME others each, until that leaves more than SPARED of
+#: the pairs.  These decide the cost, not the links: all that are left follow.
+MANY, SOME, SPARED = 2, 8, 0.9
 #: The fewest bits of a sketch (a power of two); it has two or more a shingle.
 BITS = 512
 
@@ -201,37 +207,87 @@ def golay_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _shares(side: str, other: str) -> str:
+    """SQL: two sets can be similar, by their sizes and by how much comes after
+    the first shingle in common on both sides."""
+    x, y = (f"size{side}", f"place{side}"), (f"size{other}", f"place{other}")
+    return (
+        f"{DENOMINATOR} * least({x[0]}, {y[0]}) >= {NUMERATOR} * greatest({x[0]}, {y[0]}) and "
+        f"{NUMERATOR + DENOMINATOR} * least({x[0]} - {x[1]}, {y[0]} - {y[1]}) >= {NUMERATOR} * ({x[0]} + {y[0]})"
+    )
+
+
+def _one_each(seated: DataFrame) -> DataFrame:
+    """Of the nodes of a key each and the next in size; of the nodes that one
+    meets so, the one that it shares most keys with (the others can wait)."""
+    order = Window.partitionBy("key").orderBy("size", "node")
+    before = [F.lag(c).over(order).alias(f"{c}_before") for c in ("node", "size", "part")]
+    met = seated.select("node", "size", "part", *before).where(f"part_before <> part and {DENOMINATOR} * size_before >= {NUMERATOR} * size")
+    often = met.groupBy("node", "node_before").agg(F.count("*").alias("n"))
+    return often.groupBy("node").agg(F.max_by("node_before", F.struct("n", "node_before")).alias("with")).select(*_ordered("node", "with"))
+
+
+def _some_each(across: DataFrame, turn: int) -> DataFrame:
+    """Of the nodes of a key each and the few before it in an order drawn for the
+    key and the turn, if they are apart; of a node's pairs :data:`SOME`.  What
+    comes late in the prefix has too little after it to meet a set as large."""
+    early = across.where(f"{NUMERATOR + DENOMINATOR} * (size - place) >= {2 * NUMERATOR} * size").withColumn("drawn", F.xxhash64("node", "key", F.lit(turn)))
+    few = Window.partitionBy("key").orderBy("drawn", "node").rowsBetween(-SOME, -1)
+    met = early.withColumn("few", F.collect_list(F.struct("node", "size", "place", "part")).over(few)).withColumn("b", F.explode("few"))
+    met = met.select("node", "size", "place", "part", *[F.col(f"b.{c}").alias(f"{c}_before") for c in ("node", "size", "place", "part")])
+    met = met.where(f"part_before <> part and {_shares('', '_before')}").select(*_ordered("node", "node_before")).distinct()
+    ends = met.select("a", "b", F.explode(F.array("a", "b")).alias("end")).withColumn("drawn", F.xxhash64("a", "b", F.lit(turn)))
+    nth = F.row_number().over(Window.partitionBy("end").orderBy("drawn", "a", "b"))
+    return ends.withColumn("nth", nth).where(f"nth <= {SOME}").select("a", "b").distinct()
+
+
+def _all_apart(across: DataFrame) -> DataFrame:
+    """All nodes of a key that are apart."""
+    a, b = (across.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "key", "part")]) for side in "ab")
+    near = f"key_a = key_b and node_a < node_b and part_a <> part_b and {_shares('_a', '_b')}"
+    return a.join(b.hint("merge"), F.expr(near)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def _across(seated: DataFrame) -> DataFrame:
+    """The rows of keys that aren't within one part, as a table; the others have
+    nothing left to link."""
+    seated = stored(seated, "part-keys")
+    apart = seated.groupBy(F.col("key").alias("across")).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    out = stored(seated.join(apart.select("across"), F.col("key") == F.col("across"), "left_semi"), "across")
+    drop(seated)
+    return out
+
+
+def _still_apart(across: DataFrame) -> tuple[int, float]:
+    """(rows, pairs of rows of a key that are apart)."""
+    of_part = across.groupBy("key", "part").agg(F.count("*").alias("m"))
+    of_key = of_part.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m").cast("double") * F.col("m")).alias("own"))
+    return tuple(of_key.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first())
+
+
 def prefix_links(keys: DataFrame, nodes: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
-    """The second and third round: ``links`` and those that they lack between
+    """The rounds after the first: ``links`` and those that they lack between
     components, as a table; ``keys`` (node, size, place, key) of the prefixes."""
-    for last in (False, True):
+    turn, last, before = 0, False, float("inf")
+    while not last:
         parts = _parts(nodes, links)
         seated = keys.join(parts, F.col("node") == F.col("of")).select("node", "size", "place", "key", "part")
-        if last:
-            # a key within one part has nothing left to link
-            seated = stored(seated, "part-keys")
-            across = seated.groupBy(F.col("key").alias("across")).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-            left = stored(seated.join(across.select("across"), F.col("key") == F.col("across"), "left_semi"), "across")
-            drop(seated)
-            a, b = (left.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "place", "key", "part")]) for side in "ab")
-            # the first shingle in common has enough after it on both sides
-            enough = f"{NUMERATOR + DENOMINATOR} * least(size_a - place_a, size_b - place_b) >= {NUMERATOR} * (size_a + size_b)"
-            near = f"key_a = key_b and node_a < node_b and part_a <> part_b and {DENOMINATOR} * least(size_a, size_b) >= {NUMERATOR} * greatest(size_a, size_b) and {enough}"
-            pairs = a.join(b.hint("merge"), F.expr(near)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+        across = None
+        if not turn:
+            pairs = _one_each(seated)
         else:
-            order = Window.partitionBy("key").orderBy("size", "node")
-            before = [F.lag(c).over(order).alias(f"{c}_before") for c in ("node", "size", "part")]
-            met = seated.select("node", "size", "part", *before).where(f"part_before <> part and {DENOMINATOR} * size_before >= {NUMERATOR} * size")
-            often = met.groupBy("node", "node_before").agg(F.count("*").alias("n"))
-            # the one that a node shares most with; the others can wait
-            pairs = often.groupBy("node").agg(F.max_by("node_before", F.struct("n", "node_before")).alias("with")).select(*_ordered("node", "with"))
+            across = _across(seated)
+            n, pairs_left = _still_apart(across)
+            # some more first, as long as that spares many of the pairs
+            last = pairs_left <= MANY * n or pairs_left > SPARED * before
+            before = pairs_left
+            pairs = _all_apart(across) if last else _some_each(across, turn)
         found = _links(pairs, nodes, docs)
         more = stored(links.unionAll(found), "all-links")
-        for done in (parts, found, links):
-            drop(done)
-        if last:
-            drop(left)
-        links = more
+        for done in (parts, found, links, across):
+            if done is not None:
+                drop(done)
+        links, turn = more, turn + 1
     return links
 
 

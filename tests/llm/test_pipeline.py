@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from querylens.llm import langid, similar, simhash
-from querylens.llm.common import table
+from querylens.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -182,3 +182,21 @@ def test_near_copies_go_by_similarity(spark):
     assert sorted(r.doc_id for r in kept) == sorted({find(i) for i in range(len(texts))})
     old = simhash.drop_near_duplicates(docs).count()
     assert old > len(kept)  # four bits are fewer
+
+
+def test_stragglers_of_a_group_join_it_before_all_are_compared(spark, monkeypatch):
+    """300 nodes in a chain, 100 apart, all with one key; a third of all pairs are similar."""
+    compared, alike = [], lambda a, b: (7 * a + 3 * b) % 10 < 3
+
+    def links(pairs, nodes, docs):
+        found = [tuple(r) for r in pairs.distinct().collect()]
+        compared.extend(found)
+        return stored(spark.createDataFrame([p for p in found if alike(*p)], "a long, b long").coalesce(1), "test-links")
+
+    monkeypatch.setattr(similar, "_links", links)
+    keys = spark.range(400).selectExpr("id as node", "100L as size", "0 as place", "1L as key").coalesce(1)
+    chain = stored(spark.range(299).selectExpr("id as a", "id + 1 as b").coalesce(1), "test-chain")
+    found = similar.prefix_links(keys, keys.select("node"), keys, chain)
+    parts = {r.of: r.part for r in similar._parts(keys.select("node"), found).collect()}
+    assert all(parts[a] == parts[b] for a in range(400) for b in range(a + 1, 400) if alike(a, b))
+    assert len(set(compared)) < 12_000
