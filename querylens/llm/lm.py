@@ -289,15 +289,19 @@ class Trainer:
         self.net, self.rate = net, np.float32(rate)
         self.past = Network(np.full(Network.size(), 1e-2, dtype=np.float32))
         self.gradients = Network(np.zeros(Network.size(), dtype=np.float32))
+        self.scratch = Network(np.zeros(Network.size(), dtype=np.float32))
 
-    def _down(self, name: str, gradient: np.ndarray, at=slice(None)) -> None:
+    def _down(self, name: str, gradient: np.ndarray) -> None:
+        # in place, as fresh arrays of this size cost more than the sums; a
+        # gradient of zero changes nothing
+        sums, roots = getattr(self.past, name), getattr(self.scratch, name)
         gradient *= np.float32(1 / BATCH)
-        sums = getattr(self.past, name)[at] + gradient * gradient
-        getattr(self.past, name)[at] = sums
-        np.sqrt(sums, out=sums)
-        np.divide(gradient, sums, out=gradient)
+        np.multiply(gradient, gradient, out=roots)
+        sums += roots
+        np.sqrt(sums, out=roots)
+        gradient /= roots
         gradient *= self.rate
-        getattr(self.net, name)[at] -= gradient
+        getattr(self.net, name)[...] -= gradient
 
     def step(self, row: np.ndarray, places: np.ndarray) -> None:
         net, n = self.net, len(places)
@@ -313,7 +317,7 @@ class Trainer:
         for name, choice, groups in _groups(target):
             # what the softmax gives too much to each, and to the target too little
             miss = _exponentials(_fed(net, name, hidden, groups))
-            miss *= 1 / miss.sum(axis=1, keepdims=True)
+            miss *= 1 / (miss @ np.ones((miss.shape[1], 1), dtype=miss.dtype))
             miss[np.arange(n), choice] -= 1
             weights, gradient = getattr(net, name), getattr(self.gradients, name)
             gradient[...] = 0
@@ -324,14 +328,15 @@ class Trainer:
             self._down(name, gradient)
         back *= hidden > 0
         back[:, -1] = 0
-        down = (back @ net.w1.T).reshape(-1, DIMENSION)
+        down = net.w1 @ back.T
         self._down("w1", inputs.T @ back)
         self._down("b1", back.sum(axis=0))
-        met = window.ravel()
-        by = np.argsort(met, kind="stable")
-        met = met[by]
-        starts = np.flatnonzero(np.concatenate([[True], met[1:] != met[:-1]]))
-        self._down("emb", np.add.reduceat(np.take(down, by, axis=0), starts, axis=0), met[starts])
+        # a number's gradient is summed over the places of a window, in doubles
+        met, gradient = np.ascontiguousarray(window.T).ravel(), self.gradients.emb
+        places_by_unit = down.reshape(2 * SIDE, DIMENSION, n)
+        for unit in range(DIMENSION):
+            gradient[:, unit] = np.bincount(met, weights=places_by_unit[:, unit].ravel(), minlength=SIZE)
+        self._down("emb", gradient)
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:

@@ -1054,3 +1054,18 @@ def test_sliced_batches_are_split_like_whole_ones():
     batch = pa.RecordBatch.from_arrays([texts], names=["text"])
     parts = [lm.split_words(b.column(0))[0].to_pylist() for b in slices([batch], 999)]
     assert sum(parts, []) == whole.to_pylist() and len(parts) == 3 and list(slices([batch.slice(0, 0)])) == []
+
+
+def test_a_step_of_descent_makes_no_large_arrays():
+    import tracemalloc
+
+    trainer = lm.Trainer(lm.Network.start())
+    gradient = np.full_like(trainer.net.step2, 3.0)
+    before, past = trainer.net.step2.copy(), trainer.past.step2.copy()
+    tracemalloc.start()
+    trainer._down("step2", gradient)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    down = np.float32(3 / lm.BATCH)
+    assert most < gradient.nbytes / 4
+    assert np.allclose(trainer.net.step2, before - lm.RATE * down / np.sqrt(past + down * down))
