@@ -9,12 +9,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that a function works on at once.
 ARROW_ROWS = 1000
+#: Bytes of an Arrow batch of :func:`small_batches`.
+ARROW_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,22 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterato
             yield batch.take(pa.array(range(at, min(at + rows, batch.num_rows)), pa.int64())) if at else batch.slice(0, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written meanwhile hand texts to Python in batches of about
+    :data:`ARROW_BYTES`, or of what the session sets if that is less.  Both the
+    executor and its workers hold a batch more than once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before) if before else 0
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(key, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def release_memory() -> None:
     """Hand free memory back at the end of a Python task; workers are used again
     and would hold on to the most they ever had."""

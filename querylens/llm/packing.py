@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querylens.llm.common import release_memory, stored
+from querylens.llm.common import release_memory, small_batches, stored
 from querylens.llm.tokens import grouped, tokenizer
 
 #: Tokens of a sequence, and the id after each document.
@@ -193,7 +193,8 @@ def pack_documents(
     matter; an empty table gives an empty one.
     """
     # the number of each piece is written down, so it survives recomputation
-    cut = stored(pieces(docs, path, doc_id, text, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    with small_batches(docs.sparkSession):
+        cut = stored(pieces(docs, path, doc_id, text, capacity, end_id).withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": F.col("item"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)})
     placed = packed(cut.where(F.col("length") < capacity).select("item", "length"), capacity, cell)
     placed = placed.select(F.col("item").alias("of"), F.col("bin").alias("sequence_id"), "offset", "certified")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylens.llm import simhash
-from querylens.llm.common import drop, fresh, release_memory, slices, stored
+from querylens.llm.common import drop, fresh, release_memory, slices, small_batches, stored
 from querylens.llm.components import connected_components
 
 #: Words of a shingle; linked sets are at least NUMERATOR / DENOMINATOR alike.
@@ -312,9 +312,10 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _component_table(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, ``(of, part)`` of every node)."""
-    rows, nodes, keys = _nodes(docs)
-    links = prefix_links(keys, nodes, docs, golay_links(nodes, docs))
-    parts = _parts(nodes, links)
+    with small_batches(docs.sparkSession):
+        rows, nodes, keys = _nodes(docs)
+        links = prefix_links(keys, nodes, docs, golay_links(nodes, docs))
+        parts = _parts(nodes, links)
     drop(keys)
     drop(links)
     return rows, nodes, parts

@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 #: Words that a worker remembers from one group of texts to the next: those it
 #: met first, which the frequent ones are among.
 KEPT = 100_000
-#: Bytes of text that are encoded at once: the more, the fewer runs come twice.
+#: Bytes of text that are encoded at once, unless one is longer: the more, the
+#: fewer runs come twice, but the numbers of all runs are in memory.
 GROUP = 4 << 20
 #: Runs that are held as Python strings at once.
 RUNS = 40_000
@@ -209,16 +210,31 @@ class RaggedTokenizer:
             row = last
 
 
+def _cut(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(rows of a batch, bytes of their text and of a few numbers a row), at most
+    ``size`` unless one text is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) + 16, dtype=np.int64)
+    row = before = 0
+    while row < len(ends):
+        last = max(row + 1, int(np.searchsorted(ends, before + size, side="right")))
+        # copied, as in common.slices
+        part = batch if last - row == len(ends) else batch.take(pa.array(range(row, last), pa.int64()))
+        yield part, int(ends[last - 1]) - before
+        row, before = last, int(ends[last - 1])
+
+
 def grouped(batches: Iterable[pa.RecordBatch], column: int, size: int = GROUP) -> Iterator[pa.RecordBatch]:
-    """Batches joined to about ``size`` bytes of text each."""
+    """Batches cut and joined to ``size`` bytes of text each at most; a longer
+    text is one of its own."""
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
-        held.append(batch)
-        total += batch.column(column).nbytes
-        if total >= size:
-            yield pa.concat_batches(held)
-            held, total = [], 0
+        for part, n in _cut(batch, column, size):
+            if held and total + n > size:
+                yield pa.concat_batches(held)
+                held, total = [], 0
+            held.append(part)
+            total += n
     if held:
         yield pa.concat_batches(held)
 

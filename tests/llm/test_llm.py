@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from querylens.llm import components, langid, lm, merkle, mixing, packing, pii, pivots, queries, simhash, tokens, urlfilter, warc
-from querylens.llm.common import fresh, slices, table
+from querylens.llm.common import ARROW_BYTES, fresh, slices, small_batches, table
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -702,6 +702,46 @@ def test_other_tokenizers_read_whole_texts():
     assert not tok.by_run and ids.tolist() == sum(want, []) and sizes.tolist() == [len(w) for w in want]
 
 
+def test_large_batches_are_cut_to_groups():
+    """A worker's memory follows its group, however large the batches are that Spark hands over."""
+    rng = random.Random(6)
+    texts = [rng.choice([None, "", "é" * rng.randrange(400), "x" * rng.randrange(900)]) for _ in range(3000)]
+    texts[1700] = "long " * 10_000
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    for batches in ([whole], [whole.slice(0, 5), whole.slice(5, 0), whole.slice(5, 2500), whole.slice(2505)], [whole.slice(i, 1) for i in range(len(texts))]):
+        groups = list(tokens.grouped(iter(batches), 1, 20_000))
+        assert [x for g in groups for x in zip(*(c.to_pylist() for c in g.columns))] == list(enumerate(texts))
+        sizes = [sum(len((t or "").encode()) for t in g.column(1).to_pylist()) for g in groups]
+        assert all(n <= 20_000 or len(list(filter(None, g.column(1).to_pylist()))) == 1 for n, g in zip(sizes, groups))
+        assert len(groups) < 3 * sum(sizes) / 20_000 + 3
+    assert list(tokens.grouped(iter([whole.slice(0, 0)]), 1)) == []
+
+
+def test_small_batches_of_texts(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    texts = spark.range(8000).selectExpr("repeat('x', 2000) as text").coalesce(1).mapInArrow(sizes, "n long")
+    with small_batches(spark):
+        assert max(r.n for r in texts.collect()) < 1.1 * ARROW_BYTES
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "1m")
+    try:
+        with pytest.raises(ValueError), small_batches(spark):
+            assert spark.conf.get(key) == "1m"  # less already
+            raise ValueError
+        assert spark.conf.get(key) == "1m"
+        spark.conf.set(key, "32m")
+        with small_batches(spark):
+            assert int(spark.conf.get(key)) == ARROW_BYTES
+        assert spark.conf.get(key) == "32m"
+    finally:
+        spark.conf.unset(key)
+
+
 # op8
 
 
